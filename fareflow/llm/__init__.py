@@ -1,10 +1,11 @@
 """Operators of a training-data pipeline. Nothing outside this folder imports it, but for ``__spark_entry__``."""
 
-from . import pii, quality, url_filter, warc
+from . import mixing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op5_line_cleaning": quality.op5_line_cleaning,
+    "op6_mixing": mixing.op6_mixing,
     "op8_pii": pii.op8_pii,
     "op10_warc": warc.op10_warc,
 }
