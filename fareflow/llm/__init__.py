@@ -1,9 +1,10 @@
 """Operators of a training-data pipeline. Nothing outside this folder imports it, but for ``__spark_entry__``."""
 
-from . import mixing, pii, quality, url_filter, warc
+from . import mixing, packing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_packing": packing.op2_packing,
     "op5_line_cleaning": quality.op5_line_cleaning,
     "op6_mixing": mixing.op6_mixing,
     "op8_pii": pii.op8_pii,
