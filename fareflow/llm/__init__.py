@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing outside this folder imports it, but for ``__spark_entry__``."""
 
-from . import ann, mixing, packing, pii, quality, simhash, url_filter, warc
+from . import ann, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_ann": ann.op4_ann,
     "op5_line_cleaning": quality.op5_line_cleaning,
     "op6_mixing": mixing.op6_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_pii": pii.op8_pii,
     "op10_warc": warc.op10_warc,
 }
