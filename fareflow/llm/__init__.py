@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline. Nothing outside this folder imports it, but for ``__spark_entry__``."""
 
-from . import ann, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
+from . import ann, langid, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_pii": pii.op8_pii,
+    "op9_language": langid.op9_language,
     "op10_warc": warc.op10_warc,
 }
 
