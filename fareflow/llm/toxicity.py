@@ -211,9 +211,15 @@ def logistic(f: np.ndarray, y: np.ndarray, turns: int = 50) -> np.ndarray:
 
 def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[str]:
     """Words that toxic texts hold at a much higher rate, surest first."""
+    def words(text: str | None) -> set[str]:
+        return {w for w in _WORD.findall((text or "").lower()) if 4 <= len(w) <= 24}
+
     in_pos, in_neg = Counter(), Counter()
-    for text, label in zip(texts, y):
-        (in_pos if label else in_neg).update(w for w in set(_WORD.findall((text or "").lower())) if 4 <= len(w) <= 24)
+    for text in (t for t, label in zip(texts, y) if label):
+        in_pos.update(words(text))
+    in_pos = Counter({w: n for w, n in in_pos.items() if n >= 2})
+    for text in (t for t, label in zip(texts, y) if not label):
+        in_neg.update(words(text) & in_pos.keys())
     p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
     def gain(a: int, b: int) -> float:
@@ -261,8 +267,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 128, least: floa
     marks = Landmarks(words, Kernel(), least, power)
     values, vectors = np.linalg.eigh(marks.gram())
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    at, x = marks.sentences(texts)
-    x = x @ nystrom
+    parts = [(lo, *marks.sentences(texts[lo : lo + 32])) for lo in range(0, len(texts), 32)]
+    at, x = np.concatenate([lo + a for lo, a, _ in parts]), np.concatenate([x for _, _, x in parts]) @ nystrom
     bags = np.zeros((len(texts), x.shape[1]))
     for i, row in zip(at, x):  # the whole document as one sentence, to begin with
         bags[i] = np.where(np.abs(row) > np.abs(bags[i]), row, bags[i])
@@ -278,7 +284,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = 128, least: floa
         ys = np.concatenate([y[at][used], y[bare]])
         w, b = l2_svm(xs, 2 * ys - 1, np.concatenate([balance[at][used], balance[bare]]), ridge)
     model = Model(marks, (nystrom @ w).astype(np.float32), b)
-    model.curve = logistic(model.margins(texts), y)
+    model.curve = logistic(np.concatenate([model.margins(texts[lo : lo + 32]) for lo in range(0, len(texts), 32)]), y)
+    marks.memo.clear()
     return model
 
 
