@@ -109,16 +109,35 @@ class Landmarks:
     def gram(self) -> np.ndarray:
         return (self.weights.T.astype(float) @ self.weights) ** self.power
 
-    def excess(self, word: bytes) -> np.ndarray | None:
-        """The kernel with each landmark to the power, 0 where the kernel is below least; None if all are 0."""
-        if word not in self.memo:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            codes, values = self.kernel.features(np.frombuffer(word, np.uint8))
-            row = self.row[codes]
-            k = values[row >= 0] @ self.weights[row[row >= 0]]
-            self.memo[word] = np.where(k >= self.least, k**self.power, 0).astype(np.float32) if (k >= self.least).any() else None
-        return self.memo[word]
+    def look(self, words: list[bytes]) -> None:
+        """Put into memo what each new word has: the kernel with each landmark to the power, 0 where the kernel is below least;
+        None if all are 0."""
+        if len(self.memo) > 50_000:
+            self.memo.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        for lo in range(0, len(new), 1024):
+            part = new[lo : lo + 1024]
+            s = np.frombuffer(b"".join(part), np.uint8).astype(np.int64)
+            of = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), np.int64, len(part)))
+            keys, values = [], []
+            for a, b, w in self.kernel.steps:
+                n = max(0, len(s) - b)
+                inside = np.flatnonzero(of[:n] == of[b:])
+                keys.append(of[inside] << 18 | s[inside] << 12 | s[inside + a] << 6 | s[inside + b])
+                values.append(np.full(len(inside), w))
+            keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            phi, own = np.bincount(at, weights=np.concatenate(values)), keys >> 18
+            norm = np.sqrt(np.bincount(own, weights=phi * phi, minlength=len(part)))
+            row = self.row[keys & (1 << 18) - 1]
+            phi, own, row = phi[row >= 0], own[row >= 0], row[row >= 0]
+            self.memo.update(dict.fromkeys(part))
+            if not len(own):
+                continue
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            k = np.add.reduceat(phi[:, None].astype(np.float32) * self.weights[row], starts, axis=0) / norm[own[starts]][:, None].astype(np.float32)
+            for i, v in zip(own[starts].tolist(), k):
+                if v.max() >= self.least:
+                    self.memo[part[i]] = np.where(v >= self.least, v**self.power, 0)
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, features) of every sentence with a feature that isn't zero."""
@@ -170,9 +189,11 @@ class Landmarks:
         bound = np.add.reduceat(total, starts) >= self.least * self.kernel.norm_floor(lengths)
         rows: dict[int, np.ndarray] = {}
         where: dict[int, int] = {}
-        for i in np.flatnonzero(bound & (lengths > 2)).tolist():
-            k = self.excess(s[starts[i] : starts[i] + lengths[i]].tobytes())
-            if k is not None:
+        suspects = np.flatnonzero(bound & (lengths > 2)).tolist()
+        words = [s[starts[i] : starts[i] + lengths[i]].tobytes() for i in suspects]
+        self.look(words)
+        for i, w in zip(suspects, words):
+            if (k := self.memo[w]) is not None:
                 x = int(sentence[min(starts[i] + 1, len(s) - 1)])
                 rows[x] = np.maximum(rows[x], k) if x in rows else k
                 where[x] = int(of[starts[i]])
