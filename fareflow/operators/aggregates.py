@@ -194,7 +194,7 @@ def shares(df: DataFrame, key: str, digits: int = 1) -> DataFrame:
 
 def crosstab(df: DataFrame, rows: str, columns: str, levels: Sequence[str]) -> DataFrame:
     """Counts with a column for each level, 0 where there is none."""
-    return df.groupBy(rows).pivot(columns, list(levels)).agg(F.count("*")).fillna(0, list(levels))
+    return df.groupBy(rows).pivot(columns, list(levels)).agg(F.count(F.lit(1))).fillna(0, list(levels))
 
 
 def mean_of_means(df: DataFrame, keys: Sequence[str], outer: str, value: str) -> DataFrame:
