@@ -10,8 +10,9 @@ feature for a landmark is the largest third power of the kernel (a kernel again)
 sentence's words, taken as 0 where the kernel is below ``least``; the Nyström map multiplies by the inverse root of the landmarks' own kernel matrix.
 
 *Machine.* A linear support vector machine (squared hinge, solved by Newton steps) on sentences. Labels are the documents',
-so sentences of a toxic document start as one bag; then those that the machine itself points at are the positives, all
-sentences of clean documents the negatives. A document scores by its three worst sentences, through a logistic curve.
+and every sentence with a feature takes its document's: since no landmark is a common word, nearly all sentences of a toxic
+document stay out of it. A document scores by its three worst sentences or by its worst one alone, through a logistic curve
+each; the higher score counts, so one clear insult is enough.
 
 *Pruning.* The largest landmark weight of each three-symbol code gives an upper bound of any landmark's kernel with a word
 from sums alone, for all words at once in numpy; only words whose bound reaches ``least`` are looked at closely, and the
@@ -258,7 +259,7 @@ def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[str]:
 
 class Model:
     def __init__(self, landmarks: Landmarks | None, v: np.ndarray | None = None, bias: float = 0.0, curve: np.ndarray | None = None):
-        self.landmarks, self.v, self.bias, self.curve = landmarks, v, bias, curve
+        self.landmarks, self.v, self.bias, self.curve, self.single = landmarks, v, bias, curve, np.zeros(2)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """The margins of each text's worst sentences, worst first."""
@@ -275,10 +276,12 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.landmarks:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.margins(texts) @ self.curve[:-1] + self.curve[-1], -30, 30)))
+        f = self.margins(texts)
+        both = np.maximum(f @ self.curve[:-1] + self.curve[-1], f[:, 0] * self.single[0] + self.single[1])
+        return 1 / (1 + np.exp(-np.clip(both, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 128, least: float = 0.65, power: int = 3, ridge: float = 0.3) -> Model:
+def train(texts: list[str], labels: list[int], landmarks: int = 96, least: float = 0.7, power: int = 3, ridge: float = 0.3) -> Model:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return Model(None)
@@ -290,22 +293,13 @@ def train(texts: list[str], labels: list[int], landmarks: int = 128, least: floa
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     parts = [(lo, *marks.sentences(texts[lo : lo + 32])) for lo in range(0, len(texts), 32)]
     at, x = np.concatenate([lo + a for lo, a, _ in parts]), np.concatenate([x for _, _, x in parts]) @ nystrom
-    bags = np.zeros((len(texts), x.shape[1]))
-    for i, row in zip(at, x):  # the whole document as one sentence, to begin with
-        bags[i] = np.where(np.abs(row) > np.abs(bags[i]), row, bags[i])
-    balance = np.where(y == 1, (1 - y).sum() / y.sum(), 1.0) ** 0.5
-    w, b = l2_svm(bags, 2 * y - 1, balance, ridge)
-    for _ in range(3):
-        f = x @ w + b
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, at, f)
-        used = (y[at] == 0) | (f >= best[at]) | (f > 0)
-        bare = np.isinf(best)  # without any suspicious sentence
-        xs = np.vstack([x[used], np.zeros((bare.sum(), x.shape[1]))])
-        ys = np.concatenate([y[at][used], y[bare]])
-        w, b = l2_svm(xs, 2 * ys - 1, np.concatenate([balance[at][used], balance[bare]]), ridge)
+    bare = np.setdiff1d(np.arange(len(texts)), at)  # texts without any suspicious sentence count as one without features
+    xs, ys = np.vstack([x, np.zeros((len(bare), x.shape[1]))]), np.concatenate([y[at], y[bare]])
+    balance = np.where(ys == 1, ((1 - ys).sum() / max(1.0, ys.sum())) ** 0.5, 1.0)
+    w, b = l2_svm(xs, 2 * ys - 1, balance, ridge)
     model = Model(marks, (nystrom @ w).astype(np.float32), b)
-    model.curve = logistic(np.concatenate([model.margins(texts[lo : lo + 32]) for lo in range(0, len(texts), 32)]), y)
+    f = np.concatenate([model.margins(texts[lo : lo + 32]) for lo in range(0, len(texts), 32)])
+    model.curve, model.single = logistic(f, y), logistic(f[:, :1], y)
     marks.memo.clear()
     return model
 
