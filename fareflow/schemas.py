@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
+
+_TYPES = {"long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(), "date": DateType(), "timestamp_ntz": TimestampNTZType()}
+
+
+def _struct(ddl: str) -> StructType:
+    """Spark's own parser needs a session, and this module is imported before there is one."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in ddl.split(","))])
+
+
 
 # Column names and types of the public trip records.
-YELLOW = StructType.fromDDL(
+YELLOW = _struct(
     "VendorID long, tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, passenger_count long, trip_distance double, RatecodeID long, "
     "store_and_fwd_flag string, PULocationID long, DOLocationID long, payment_type long, fare_amount double, extra double, mta_tax double, tip_amount double, "
     "tolls_amount double, improvement_surcharge double, total_amount double, congestion_surcharge double, airport_fee double, cbd_congestion_fee double"
 )
-GREEN = StructType.fromDDL(
+GREEN = _struct(
     "VendorID long, lpep_pickup_datetime timestamp_ntz, lpep_dropoff_datetime timestamp_ntz, store_and_fwd_flag string, RatecodeID long, PULocationID long, "
     "DOLocationID long, passenger_count long, trip_distance double, fare_amount double, extra double, mta_tax double, tip_amount double, tolls_amount double, "
     "improvement_surcharge double, total_amount double, payment_type long, trip_type long, congestion_surcharge double, cbd_congestion_fee double"
 )
-FHVHV = StructType.fromDDL(
+FHVHV = _struct(
     "hvfhs_license_num string, dispatching_base_num string, originating_base_num string, request_datetime timestamp_ntz, on_scene_datetime timestamp_ntz, "
     "pickup_datetime timestamp_ntz, dropoff_datetime timestamp_ntz, PULocationID long, DOLocationID long, trip_miles double, trip_time long, "
     "base_passenger_fare double, tolls double, bcf double, sales_tax double, congestion_surcharge double, airport_fee double, tips double, driver_pay double, "
     "shared_request_flag string, shared_match_flag string, access_a_ride_flag string, wav_request_flag string, wav_match_flag string, cbd_congestion_fee double"
 )
-WEATHER = StructType.fromDDL("date date, hour int, temp_c double, precip_mm double, rain_mm double, snowfall_mm double, wind_kmh double, weather_code int")
-CITY_EVENTS = StructType.fromDDL("date date, hour int, borough string, event_type string, n_events int")
+WEATHER = _struct("date date, hour int, temp_c double, precip_mm double, rain_mm double, snowfall_mm double, wind_kmh double, weather_code int")
+CITY_EVENTS = _struct("date date, hour int, borough string, event_type string, n_events int")
 
 # Codes that are in use.
 VENDORS = {"yellow": (1, 2, 6, 7), "green": (1, 2, 6)}
