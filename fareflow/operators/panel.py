@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import at_hour, calendar
 
 ZONE, TIME = "pu_location_id", "timestamp_hour"
-BY_ZONE = W.partitionBy(ZONE).orderBy(TIME)
+
+
+def by_zone():
+    """The one window of all lags, rolls and leads."""
+    return W.partitionBy(ZONE).orderBy(TIME)
 
 
 def hourly_counts(trips: DataFrame) -> DataFrame:
@@ -38,18 +42,18 @@ def filled(cells: DataFrame, zones: DataFrame | None = None, values: Mapping[str
 
 
 def lag(c: str, n: int) -> Column:
-    return F.lag(c, n).over(BY_ZONE)
+    return F.lag(c, n).over(by_zone())
 
 
 def rolling(c: str, n: int) -> Column:
     """The mean of the n hours before; null until there are n."""
-    frame = BY_ZONE.rowsBetween(-n, -1)
+    frame = by_zone().rowsBetween(-n, -1)
     return F.when(F.count(c).over(frame) == n, F.avg(c).over(frame))
 
 
 def running(c: str, n: int) -> Column:
     """The mean of the last n hours, this one included, of however many there are."""
-    return F.avg(c).over(BY_ZONE.rowsBetween(1 - n, 0))
+    return F.avg(c).over(by_zone().rowsBetween(1 - n, 0))
 
 
 def with_history(panel: DataFrame, spec: Mapping[str, tuple[Sequence[int], Sequence[int]]]) -> DataFrame:
@@ -58,7 +62,7 @@ def with_history(panel: DataFrame, spec: Mapping[str, tuple[Sequence[int], Seque
 
 
 def with_targets(panel: DataFrame, c: str, horizons: Sequence[int] = (1, 3, 24)) -> DataFrame:
-    return panel.withColumns({f"target_{c}_t{h}": F.lead(c, h).over(BY_ZONE) for h in horizons})
+    return panel.withColumns({f"target_{c}_t{h}": F.lead(c, h).over(by_zone()) for h in horizons})
 
 
 def history_columns(panel: DataFrame) -> list[str]:

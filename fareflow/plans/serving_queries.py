@@ -50,7 +50,7 @@ def serve_predict(spark, sf):
     return V.predictions(_scores(spark, sf), asked)
 
 
-AHEAD = f"{SCORES}, ahead AS (SELECT z.zone, o AS hour_offset, (23 + o) % 24 AS hour, CAST((7 - 1 + floor((23 + o) / 24)) % 7 + 1 AS INT) AS day_of_week FROM (VALUES (1), (4)) z(zone), (VALUES (0), (2), (4), (6), (12), (24)) t(o)), f AS (SELECT ahead.*, score FROM ahead LEFT JOIN scores USING (zone, day_of_week, hour))"
+AHEAD = f"{SCORES}, slots_ahead AS (SELECT z.zone, o AS hour_offset, (23 + o) % 24 AS hour, CAST((7 - 1 + floor((23 + o) / 24)) % 7 + 1 AS INT) AS day_of_week FROM (VALUES (1), (4)) z(zone), (VALUES (0), (2), (4), (6), (12), (24)) t(o)), f AS (SELECT slots_ahead.*, score FROM slots_ahead LEFT JOIN scores USING (zone, day_of_week, hour))"
 
 
 @query(f"WITH {AHEAD} SELECT zone, day_of_week, hour, hour_offset, 0 AS match, score, {LEVEL} FROM f")
@@ -63,7 +63,7 @@ def forecast_summary(spark, sf):
     return rounded(V.forecast_summary(V.forecast(_scores(spark, sf), [1, 4], 7, 23)))
 
 
-@query(f"WITH {SCORES}, m AS (SELECT * FROM scores WHERE day_of_week = 2 AND hour = 8) SELECT count(*) AS n_zones, count(*) FILTER (score > 0.8) AS n_critical, count(*) FILTER (score <= 0.2) AS n_stable, round(count(*) FILTER (score > 0.8) * 100 / count(*), 4) AS percent_critical, round(avg(score), 4) AS mean_score, round(avg(score) FILTER (score > 0.8), 4) AS mean_critical, (SELECT zone FROM m ORDER BY score DESC, zone LIMIT 1) AS max_zone, (SELECT zone FROM m ORDER BY score, zone LIMIT 1) AS min_zone FROM m")
+@query(f"WITH {SCORES}, shown AS (SELECT * FROM scores WHERE day_of_week = 2 AND hour = 8) SELECT count(*) AS n_zones, count(*) FILTER (score > 0.8) AS n_critical, count(*) FILTER (score <= 0.2) AS n_stable, round(count(*) FILTER (score > 0.8) * 100 / count(*), 4) AS percent_critical, round(avg(score), 4) AS mean_score, round(avg(score) FILTER (score > 0.8), 4) AS mean_critical, (SELECT zone FROM shown ORDER BY score DESC, zone LIMIT 1) AS max_zone, (SELECT zone FROM shown ORDER BY score, zone LIMIT 1) AS min_zone FROM shown")
 def kpi_cards(spark, sf):
     return rounded(V.kpis(V.zone_map(_scores(spark, sf), 2, 8)))
 
@@ -76,7 +76,7 @@ def alerts(spark, sf):
     return V.alerts(V.zone_map(_scores(spark, sf), 2, 8).drop("level"))
 
 
-@query(f"WITH {SCORES}, m AS (SELECT * FROM scores WHERE day_of_week = 2 AND hour = 8), w AS (SELECT 'worst' AS side, zone, score FROM m ORDER BY score DESC, zone LIMIT 5), b AS (SELECT 'best' AS side, zone, score FROM m ORDER BY score, zone LIMIT 5) SELECT * FROM w UNION ALL SELECT * FROM b")
+@query(f"WITH {SCORES}, shown AS (SELECT * FROM scores WHERE day_of_week = 2 AND hour = 8), w AS (SELECT 'worst' AS side, zone, score FROM shown ORDER BY score DESC, zone LIMIT 5), b AS (SELECT 'best' AS side, zone, score FROM shown ORDER BY score, zone LIMIT 5) SELECT * FROM w UNION ALL SELECT * FROM b")
 def best_and_worst(spark, sf):
     return V.best_and_worst(V.zone_map(_scores(spark, sf), 2, 8))
 
