@@ -140,3 +140,24 @@ def rain_bin(mm: str | Column) -> Column:
     """Missing rain is unknown, not heavy."""
     x = col(mm)
     return F.when(x.isNull(), "unknown").when(x <= 0, "none").when(x <= 2, "light").when(x <= 8, "moderate").otherwise("heavy")
+
+
+def filled_from_each_other(a: str, b: str, mismatch: bool = False) -> dict[str, Column]:
+    """Two columns for one thing, each filled from the other; on demand b follows a where they differ."""
+    x, y = F.col(a), F.col(b)
+    second = F.when(x.isNotNull() & y.isNotNull() & (F.lower(x.cast("string")) != F.lower(y.cast("string"))), x).otherwise(F.coalesce(y, x)) if mismatch else F.coalesce(y, x)
+    return {a: F.coalesce(x, y), b: second}
+
+
+def safe_names(names: Iterable[str]) -> list[str]:
+    """Names of letters, digits and single underscores, made unique by a number."""
+    import re
+
+    out: list[str] = []
+    for name in names:
+        plain = re.sub(r"_+", "_", re.sub(r"[^0-9A-Za-z]", "_", name)).strip("_") or "column"
+        n, unique = 1, plain
+        while unique in out:
+            n, unique = n + 1, f"{plain}_{n + 1}"
+        out.append(unique)
+    return out

@@ -50,3 +50,17 @@ def validity_flags(df: DataFrame, flags: Mapping[str, str] | None = None) -> Dat
 def core_filter(df: DataFrame, years: tuple[int, int] | None = None, hour: str = "hour") -> DataFrame:
     keep = F.col("pickup_datetime").isNotNull() & F.col("pu_location_id").isNotNull() & F.col(hour).between(0, 23)
     return df.where(keep if years is None else keep & F.year("pickup_datetime").between(*years))
+
+
+def tip_trips(df: DataFrame, amount: str = "tip_amount", fare: str = "fare_amount", year: int | None = None, months: tuple[int, int] = (1, 12), ride_tips: bool = False) -> DataFrame:
+    """Trips that tip models learn from, with has_tip, peak and night flags and a Monday = 0 day for their features.
+
+    A trip needs its keys, a fare above 0 and a valid tip share. Rides for hire report tips under other names; ride_tips lets those with
+    a known tip take part although they have no valid share.
+    """
+    share = F.col("tip_pct").isNotNull() | (F.lit(ride_tips) & F.col(amount).isNotNull())
+    keep = F.col("pickup_datetime").isNotNull() & F.col("pu_location_id").isNotNull() & F.col(amount).isNotNull() & (F.col(fare) > 0) & share
+    if year is not None:
+        keep = keep & (F.year("pickup_datetime") == year)
+    keep = keep & F.month("pickup_datetime").between(*months)
+    return df.where(keep).withColumns({"has_tip": (F.col(amount) > 0).cast("int"), "is_peak": F.col("hour").isin(7, 8, 9, 16, 17, 18, 19).cast("int"), "is_night": F.col("hour").between(0, 5).cast("int"), "weekday_monday0": F.weekday("pickup_datetime")})

@@ -111,3 +111,16 @@ def class_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] =
 def best_model(reports: DataFrame, metric: str = "rmse", by: Sequence[str] = ()) -> DataFrame:
     """The model with the smallest metric (of equals the first by name): choose on validation, report test once."""
     return reports.groupBy(*by).agg(F.min_by("model", F.struct(metric, "model")).alias("model"), F.min(metric).alias(metric))
+
+
+def row_split(panel: DataFrame, order: Sequence[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
+    """split by place in a total order instead of by hours: an hour can straddle two parts. Ranks come from counts of sorted ranges, so
+    no task holds all rows."""
+    parts = panel.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    n = F.count("*")
+    before = F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    ranges = parts.groupBy("_p").agg(n.alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    total = ranges.agg(F.sum("_n").alias("_all"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy(*order))
+    split = F.when(place <= F.floor(F.col("_all") * train), "train").when(place <= F.floor(F.col("_all") * train) + F.floor(F.col("_all") * val), "val").otherwise("test")
+    return parts.join(F.broadcast(ranges), "_p").crossJoin(F.broadcast(total)).withColumn("split", split).drop("_p", "_n", "_before", "_all")  # a row a range; one row

@@ -213,3 +213,38 @@ def changed_cells(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     after = o.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), F.least("o_totalprice", F.lit(400000.0)).alias("o_totalprice"))
     return V.changed_cells(o, after, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+
+
+@query(f"""WITH {TRIPS_LI} SELECT trip_id, hour, pu_location_id, round(tip_amount, 4) AS tip_amount, CAST(tip_amount > 0 AS INT) AS has_tip, CAST(hour IN (7, 8, 9, 16, 17, 18, 19) AS INT) AS is_peak, CAST(hour < 6 AS INT) AS is_night, CAST(isodow(pickup_datetime) - 1 AS INT) AS weekday_monday0
+  FROM trips WHERE fare_amount > 0 AND month BETWEEN 10 AND 12""")
+def tip_trips(spark, sf):
+    t = trips_li(spark, sf).withColumn("tip_pct", C.ratio("tip_amount", "fare_amount"))
+    return rounded(Z.tip_trips(t, months=(10, 12)).select("trip_id", "hour", "pu_location_id", "tip_amount", "has_tip", "is_peak", "is_night", "weekday_monday0"))
+
+
+@query("""SELECT p_partkey, coalesce(a, b) AS id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <> b THEN a ELSE coalesce(b, a) END AS zone_id
+  FROM (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size END AS a, CASE WHEN p_size % 5 <> 0 THEN CAST(p_size + p_partkey % 2 AS INT) END AS b FROM part)""")
+def mutual_fill(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("id"), F.when(F.col("p_size") % 5 != 0, (F.col("p_size") + F.col("p_partkey") % 2).cast("int")).alias("zone_id"))
+    return p.withColumns(C.filled_from_each_other("id", "zone_id", mismatch=True))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n <= floor(t * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN n <= floor(t * CAST(0.7 AS DOUBLE)) + floor(t * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n, count(*) OVER () AS t FROM orders)""")
+def row_split(spark, sf):
+    from ..operators.stress import row_split as split
+
+    return split(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "split")
+
+
+@query(f"""WITH {TRIPS_EV}, h AS (SELECT hour, count(*) AS n FROM trips GROUP BY 1), a AS (SELECT 'most' AS side, hour, n FROM h ORDER BY n DESC, hour LIMIT 4), b AS (SELECT 'least' AS side, hour, n FROM h ORDER BY n, hour LIMIT 4) SELECT * FROM a UNION ALL SELECT * FROM b""")
+def extreme_hours(spark, sf):
+    h = trips_ev(spark, sf).groupBy("hour").agg(F.count("*").alias("n"))
+    most, least = A.top(h, 4, F.desc("n"), F.col("hour")), A.top(h, 4, F.col("n"), F.col("hour"))
+    return most.select(F.lit("most").alias("side"), "hour", "n").unionAll(least.select(F.lit("least").alias("side"), "hour", "n"))
+
+
+@query("""SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 12) ON o_custkey = c_custkey""")
+def left_dimension(spark, sf):
+    c = table(spark, sf, "customer").where("c_nationkey < 12")
+    return table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name", "c_nationkey")
