@@ -173,6 +173,22 @@ def test_links_match_all_pairs(spark, per_cell):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(rows)
 
 
+def test_similar_copies_go_and_others_stay(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
+    rows = []
+    for i, words in enumerate(base):
+        changed = list(words)
+        for at in rng.sample(range(300), 3):  # 15 of 296 shingles differ: similarity 0.9
+            changed[at] = "new"
+        half = words[:150] + [f"v{rng.randrange(10**6)}" for _ in range(150)]  # similarity 0.33
+        rows += [(i, " ".join(words)), (100 + i, " ".join(changed)), (200 + i, " ".join(half)), (300 + i, " ".join(words).upper())]
+    rows += [(1000 + i, f"short text number {i}") for i in range(50)] + [(2000, ""), (2001, None)]
+    d = docs(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    kept = {r["doc_id"] for r in simhash.without_near_duplicates(d).collect()}
+    assert kept == {*range(40), *range(200, 240), *range(1000, 1050), 2000}
+
+
 def test_near_duplicate_edges(spark):
     rows = simhash.near_duplicates(clash(docs(spark), "fp", "fingerprint", "component_id")).collect()
     assert len(rows) == len(EDGE)
