@@ -8,6 +8,9 @@ common subsequences of three symbols, each weighing ``decay`` to the power of th
 *Landmarks.* Words that toxic training documents hold at a much higher rate than others. A sentence's
 feature for a landmark is the largest third power of the kernel (a kernel again) between the landmark and one of the
 sentence's words, taken as 0 where the kernel is below ``least``; the Nyström map multiplies by the inverse root of the landmarks' own kernel matrix.
+``least`` lies below the kernel of a word of four letters with one more put inside (0.56). The third power of such a kernel says little, so
+a word that is a landmark with letters put between its own, one for each four, has the landmark's features, unless a clean training document
+holds that word (*scrum* is not *scum*).
 
 *Machine.* A linear support vector machine (squared hinge, solved by Newton steps) on sentences. Labels are the documents',
 and every sentence with a feature takes its document's: since no landmark is a common word, nearly all sentences of a toxic
@@ -15,7 +18,7 @@ document stay out of it. A document scores by its three worst sentences or by it
 each; the higher score counts, so one clear insult is enough.
 
 *Pruning.* The largest landmark weight of each three-symbol code gives an upper bound of any landmark's kernel with a word
-from sums alone, for all words at once in numpy; only words whose bound reaches ``least`` are looked at closely, and the
+from sums alone, for all words at once in numpy; only words whose bound reaches ``least`` are looked at closely, first by the same bound for groups of similar landmarks, and the
 others' features are exactly zero. So nearly all text costs a few table look-ups a character.
 
 Training takes at most ``train_positive`` and ``train_negative`` labelled documents (those with the smallest hash of their
@@ -40,6 +43,8 @@ from .common import crc32_mod, slices, table
 SKIP = 255
 #: Sentences that a document's score looks at.
 WORST = 3
+#: Landmarks that a word is held against at once before it is held against each.
+GROUP = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -91,12 +96,27 @@ class Kernel:
         return codes, phi / np.sqrt(phi @ phi)
 
 
+def spelled(word: str) -> bytes:
+    """A word as the scan sees it: behind a boundary mark."""
+    s = symbols(word)
+    return b"\0" + s[s != SKIP].tobytes()
+
+
+def gapped(word: bytes, mark: bytes) -> bool:
+    """Whether word is mark with letters put between its own, one for each four at most."""
+    if not 0 < len(word) - len(mark) <= (len(mark) - 1) // 4 or word[1] != mark[1] or word[-1] != mark[-1]:
+        return False
+    rest = iter(word[:-1])
+    return all(c in rest for c in mark[:-1])
+
+
 class Landmarks:
-    """Landmark words as columns over the codes that any of them has."""
+    """Landmark words as columns over the codes that any of them has. clean: words that don't count as landmarks with letters put inside."""
 
-    def __init__(self, words: list[str], kernel: Kernel, least: float, power: int):
-        self.kernel, self.least, self.power = kernel, least, power
-        found = [kernel.features(np.concatenate([[0], symbols(w)])) for w in words]
+    def __init__(self, words: list[str], kernel: Kernel, least: float, power: int, clean: frozenset[bytes] = frozenset()):
+        self.kernel, self.least, self.power, self.clean = kernel, least, power, clean
+        self.words = [spelled(w) for w in words]
+        found = [kernel.features(np.frombuffer(w, np.uint8)) for w in self.words]
         used = np.unique(np.concatenate([c for c, _ in found]))
         self.row = np.full(1 << 18, -1, np.int32)
         self.row[used] = np.arange(len(used))
@@ -105,6 +125,11 @@ class Landmarks:
             self.weights[self.row[codes], j] = values
         self.most = np.zeros(1 << 18, np.float32)
         self.most[used] = self.weights.max(axis=1)
+        # Neighbours in the alphabet share most codes, so the largest weights in a group of them bound each one's kernel closely.
+        order = sorted(range(len(words)), key=words.__getitem__)
+        self.group_most = np.stack([self.weights[:, order[g : g + GROUP]].max(axis=1) for g in range(0, len(order), GROUP)], axis=1)
+        own = self.weights.T @ self.weights
+        self.own = np.where(own >= least, own**power, 0)
         self.memo: dict[bytes, np.ndarray | None] = {}
 
     def gram(self) -> np.ndarray:
@@ -113,7 +138,7 @@ class Landmarks:
     def look(self, words: list[bytes]) -> None:
         """Put into memo what each new word has: the kernel with each landmark to the power, 0 where the kernel is below least;
         None if all are 0."""
-        if len(self.memo) > 50_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         for lo in range(0, len(new), 1024):
@@ -135,10 +160,20 @@ class Landmarks:
             if not len(own):
                 continue
             starts = np.flatnonzero(np.diff(own, prepend=-1))
+            bound = np.add.reduceat(phi[:, None].astype(np.float32) * self.group_most[row], starts, axis=0).max(axis=1) / norm[own[starts]]
+            near = np.repeat(bound >= self.least - 1e-4, np.diff(starts, append=len(own)))
+            phi, own, row = phi[near], own[near], row[near]
+            if not len(own):
+                continue
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
             k = np.add.reduceat(phi[:, None].astype(np.float32) * self.weights[row], starts, axis=0) / norm[own[starts]][:, None].astype(np.float32)
             for i, v in zip(own[starts].tolist(), k):
                 if v.max() >= self.least:
-                    self.memo[part[i]] = np.where(v >= self.least, v**self.power, 0)
+                    x = np.where(v >= self.least, v**self.power, 0)
+                    for j in np.flatnonzero(v >= self.least) if part[i] not in self.clean else ():
+                        if gapped(part[i], self.words[j]):
+                            x = np.maximum(x, self.own[j])
+                    self.memo[part[i]] = x
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, features) of every sentence with a feature that isn't zero."""
@@ -257,6 +292,15 @@ def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[str]:
     return [g for v, g in toxic[:most] if v > 8]
 
 
+def clean_likes(landmarks: list[str], texts: list[str]) -> frozenset[bytes]:
+    """Words of clean texts that are a landmark with letters put inside."""
+    by_ends: dict[tuple[int, int], list[bytes]] = {}
+    for mark in map(spelled, landmarks):
+        by_ends.setdefault((mark[1], mark[-1]), []).append(mark)
+    words = {spelled(w) for w in set().union(*(_WORD.findall((t or "").lower()) for t in texts))}
+    return frozenset(w for w in words if len(w) > 1 and any(gapped(w, m) for m in by_ends.get((w[1], w[-1]), ())))
+
+
 class Model:
     def __init__(self, landmarks: Landmarks | None, v: np.ndarray | None = None, bias: float = 0.0, curve: np.ndarray | None = None):
         self.landmarks, self.v, self.bias, self.curve, self.single = landmarks, v, bias, curve, np.zeros(2)
@@ -281,14 +325,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(both, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 96, least: float = 0.7, power: int = 3, ridge: float = 0.3) -> Model:
+def train(texts: list[str], labels: list[int], landmarks: int = 128, least: float = 0.55, power: int = 3, ridge: float = 0.3) -> Model:
     y = np.array(labels, float)
     if not 0 < y.sum() < len(y):
         return Model(None)
     words = choose_landmarks(texts, y, landmarks)
     if not words:
         return Model(None)
-    marks = Landmarks(words, Kernel(), least, power)
+    marks = Landmarks(words, Kernel(), least, power, clean_likes(words, [t for t, label in zip(texts, y) if not label]))
     values, vectors = np.linalg.eigh(marks.gram())
     nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
     parts = [(lo, *marks.sentences(texts[lo : lo + 32])) for lo in range(0, len(texts), 32)]

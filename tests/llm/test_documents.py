@@ -326,6 +326,16 @@ def test_toxicity_finds_gapped_insults(spark):
     assert toxicity.train(["a"], [0]).score(["idiot"])[0] == 0
 
 
+def test_toxicity_finds_one_inserted_letter():
+    rows = [(i, t.replace("scumbag", "scum").replace("moron", "loser"), y) for i, t, y in toxic_rows(400, 6)]
+    rows += [(1000 + i, f"A scrum of players entered the station {i}.", 0) for i in range(40)]
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows])
+    inserted = [w[:k] + c + w[k:] for w in ("idiot", "scum", "loser") for k in range(1, len(w)) for c in "qxz"]
+    assert {"idxiot", "scxum", "loxser"} < set(inserted)
+    assert model.score([f"He is an {w} there." for w in inserted]).min() >= 0.7
+    assert model.score(["The scrum was over.", "An idea is it.", "Consider it."]).max() < 0.7
+
+
 def test_toxicity_kernel_matches_its_definition():
     kernel = toxicity.Kernel()
     for word in ("idiot", "idxiot", "aaaa", "ab"):
