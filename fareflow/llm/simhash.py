@@ -42,9 +42,10 @@ from .components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Word, first bit, bits and radius of each block. They cover radius 4: 1 + 0 + 0 + 0 and 4 blocks make 5.
 BLOCKS = ((0, 0, 16, 1), (0, 16, 16, 0), (0, 32, 16, 0), (0, 48, 16, 0))
-#: Copies by estimated similarity: words of 64 bits, their shingle, the radius, and blocks of 10 bits, six a word.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS = 4, 5, 44
-WIDE_BLOCKS = tuple((w, b, 10, 0) for w in range(WIDE) for b in range(0, 60, 10))
+#: Candidates for similar copies: words of 64 bits, their shingle, the radius, the least exact similarity, and blocks of 10 bits, six in
+#: each word and six in each of as many words that mix the bits of all.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS, ALIKE = 4, 5, 62, 0.8
+WIDE_BLOCKS = tuple((w, b, 10, 0) for w in range(2 * WIDE) for b in range(0, 60, 10))
 
 
 def _shingle_hashes(text: str | None, shingle: int, step: int = 1 << 16):
@@ -74,10 +75,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _majority(_shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> list[int] | None:
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *_shingle_hashes(text, shingle)]))
+
+
+def wide_fingerprint(held: np.ndarray, words: int) -> list[int] | None:
     """``words`` fingerprints of 64 bits from seeded mixtures of each shingle's hash; None for a text without words."""
-    hashes = list(_shingle_hashes(text, shingle))
-    return [_majority(_mix(h ^ np.uint64(w + 1 << 56)) for h in hashes) for w in range(words)] if hashes else None
+    parts = [held[k : k + (1 << 16)] for k in range(0, len(held), 1 << 16)]
+    return [_majority(_mix(h ^ np.uint64(w + 1 << 56)) for h in parts) for w in range(words)] if parts else None
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -137,9 +143,52 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int, left: int | None = No
     return keys[moved], keys[label[moved]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks=BLOCKS, per_leaf: int = 256, per_cell: int = 4096, words: tuple[str, ...] = ("fp",)) -> DataFrame:
+def _pairs(fps: np.ndarray, radius: int, left: int | None, step: int = 512):
+    """(row, column, bits that differ) of the pairs within radius, each pair once, in chunks of all columns of a row; left as in forest."""
+    for k in range(0, len(fps) if left is None else left, step):
+        rows = np.arange(k, min(k + step, len(fps) if left is None else left))
+        cols = np.arange(k if left is None else left, len(fps))
+        some = np.zeros((len(rows), len(cols)), np.uint8)
+        for w in range(min(3, fps.shape[1])):
+            some += np.bitwise_count(fps[rows, None, w] ^ fps[cols, w])
+        i, j = np.nonzero(some <= radius)
+        i, j = rows[i], cols[j]
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+        good = (apart <= radius) & (i < j)
+        yield i[good], j[good], apart[good]
+
+
+def nearest(keys: np.ndarray, fps: np.ndarray, radius: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): for each row its nearest later one within radius, as far as there is one."""
+    out = [np.empty((2, 0), np.int64)]
+    for i, j, apart in _pairs(fps, radius, left):
+        order = np.lexsort((apart, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        out.append(np.stack([i[first], j[first]]))
+    i, j = np.concatenate(out, axis=1)
+    return np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+
+
+def mixed_words(fps: np.ndarray) -> np.ndarray:
+    """The words and as many that take each fourth bit from another word."""
+    fourth = [np.uint64(0x1111111111111111 << k) for k in range(4)]
+    mixed = [sum(fps[:, (v + k) % fps.shape[1]] & fourth[k] for k in range(4)) for v in range(fps.shape[1])]
+    return np.column_stack([fps, *mixed])
+
+
+def across(keys: np.ndarray, fps: np.ndarray, radius: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): all pairs within radius whose last words, labels, differ."""
+    label, fps = fps[:, -1], fps[:, :-1]
+    out = [np.empty((2, 0), np.int64)]
+    for i, j, _ in _pairs(fps, radius, left):
+        out.append(np.stack([i, j])[:, label[i] != label[j]])
+    i, j = np.concatenate(out, axis=1)
+    return np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks=BLOCKS, per_leaf: int = 256, per_cell: int = 4096, words: tuple[str, ...] = ("fp",), choose=forest) -> DataFrame:
     """a, b: keys (the first column of distinct) of links that connect its fingerprints as all links within radius would, as far as two
-    of them meet in a leaf. blocks: word, first bit, bits and radius; they cover the radius if radii and number add up to more."""
+    of them meet in a leaf; choose: which of them. blocks: word, first bit, bits and radius; they cover the radius if radii and number add up to more."""
     n = distinct.count()
     deep = max(1, math.ceil(math.log2(max(2, n / per_leaf))))
     spark, wide = distinct.sparkSession, len(words)
@@ -149,8 +198,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks=BLOCKS, per_leaf: in
     def shard(batches):
         for batch in batches:
             keys, fps = batch.column(0), np.stack([batch.column(1 + w).to_numpy().view(np.uint64) for w in range(wide)], axis=1)
+            mixed = mixed_words(fps[:, :WIDE]) if wide > 1 else fps
             for tree, (word, first, bits, near) in enumerate(blocks):
-                block = fps[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
+                block = mixed[:, word] >> np.uint64(first) & np.uint64((1 << bits) - 1)
                 rows, leaf = leaves(block, bits, near, min(deep, bits, 8) if near else min(deep, bits), tree)
                 columns = [pa.array(np.full(len(rows), tree, np.int32)), pa.array(leaf), keys.take(pa.array(rows)), *[pa.array(fps[rows, w].view(np.int64)) for w in range(wide)]]
                 yield pa.RecordBatch.from_arrays(columns, ["tree", "leaf", "key", *[f"f{w}" for w in range(wide)]])
@@ -176,7 +226,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks=BLOCKS, per_leaf: in
             t = pa.Table.from_batches(whole)
             fps = np.stack([t[f"f{w}"].to_numpy().view(np.uint64) for w in range(wide)], axis=1)
             x, y, second = t["x"][0].as_py(), t["y"][0].as_py(), t["second"].to_numpy(zero_copy_only=False)
-            return forest(t["key"].to_numpy(), fps, radius, None if x == y else int((~second).sum()))
+            return choose(t["key"].to_numpy(), fps, radius, None if x == y else int((~second).sum()))
 
         def out(found):
             a, b = (np.concatenate(v) for v in zip(*found))
@@ -220,35 +270,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, wide_radius: int = WIDE_RADIUS, **options) -> DataFrame:
-    """id, component_id of documents that link by their fingerprint or whose five-word shingles are similar to about 0.8 or more.
+def alike(pairs: DataFrame, sets: DataFrame, least: float = ALIKE) -> DataFrame:
+    """Those of pairs (a, b) whose sets (node, held) have a Jaccard similarity of least or more."""
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("held").alias(f"held_{n}"))
 
-    Similarity is estimated by 256 bits: at 0.8 about 39 of them differ (deviation 6), at 0.9 27, without any likeness 128. The radius of 44 keeps four of
-    five pairs at 0.8 and nearly all at 0.85. Two such pairs share one of the 24 blocks with probability 0.99 at 0.8.
+    def run(batches):
+        for whole in batches:
+            for batch in slices([whole], "held_a"):
+                good = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                    good.append(shared >= least * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, radius: int = WIDE_RADIUS, **options) -> DataFrame:
+    """id, component_id of documents that links of an exact Jaccard similarity of five-word shingles of ``least`` or more connect.
+
+    256-bit fingerprints only name candidates: at 0.8 about 39 bits differ (deviation 6), so the radius of 62 is nearly four deviations away, and of two
+    such texts one of the 48 blocks is equal nearly always. Each text's nearest candidates are compared first; then all candidates that these
+    links leave apart. A large group of copies so costs a few comparisons for each, not one for each pair.
     """
     names = [f"w{w}" for w in range(WIDE)]
 
     def run(batches):
         for batch in slices(batches, text_col):
-            texts = batch.column(text_col).to_pylist()
-            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            wide = [wide_fingerprint(t, WIDE_SHINGLE, WIDE) for t in texts]
+            sets = [shingle_set(t) for t in batch.column(text_col).to_pylist()]
+            wide = [wide_fingerprint(s, WIDE) for s in sets]
             words = [pa.array([None if v is None else v[w] - (v[w] >> 63 << 64) for v in wide], pa.int64()) for w in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fp), *words], [id_col, "fp", *names])
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node), *words], [id_col, "node", *names])
+
+    def held(batches):
+        for batch in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t).tobytes() for t in batch.column(text_col).to_pylist()], pa.binary())], ["node", "held"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = durable(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long, " + ", ".join(f"{n} long" for n in names)))
-    # A node for each fingerprint and for each wide one; a document ties its two.
-    nodes = prints.select(id_col, "fp", *names, F.xxhash64(F.lit("fp"), "fp").alias("a"), F.when(F.col("w0").isNotNull(), F.xxhash64(F.lit("wide"), *names)).alias("b"))
-    both = durable(nodes.groupBy("a", "b", "fp", *names).agg(F.min(id_col).alias("least")))
-    near = links(both.select("a", "fp").distinct(), radius, **options)
-    alike = links(both.where("b is not null").select("b", *names).distinct(), wide_radius, WIDE_BLOCKS, words=tuple(names), **options)
-    ties = both.where("b is not null").select("a", "b")
-    stars = durable(components(ties.unionAll(near).unionAll(alike)))
-    rooted = both.join(stars, F.col("a") == F.col("node"), "left").select("a", "least", F.coalesce("root", "a").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = durable(rooted.select("a", "root").distinct().join(least, "root").select("a", "component_id"))
-    return nodes.select(id_col, "a").join(of_node, "a").select(id_col, "component_id")
+    # A text's row in docs is found again by its hash: the sets of the few texts that have a candidate are made anew.
+    hashed = docs.select(id_col, text_col).withColumn("_ff_t", F.xxhash64(text_col))
+
+    def with_hash(batches):
+        for batch in batches:
+            for part in slices([batch], text_col):
+                for out in run([part]):
+                    yield pa.RecordBatch.from_arrays([*out.columns, part.column("_ff_t")], [*out.schema.names, "t"])
+
+    prints = durable(hashed.mapInArrow(with_hash, f"{id_col} {kind}, node long, " + ", ".join(f"{n} long" for n in names) + ", t long"))
+    both = durable(prints.groupBy("node", *names).agg(F.min(id_col).alias("least"), F.min("t").alias("t")))
+    wide = both.where("w0 is not null").select("node", *names)
+
+    def sets_of(pairs):
+        used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(both.select("node", "t"), "node")
+        texts = hashed.join(used, F.col("_ff_t") == F.col("t")).select("node", text_col).dropDuplicates(["node"])
+        return durable(texts.mapInArrow(held, "node long, held binary"))
+
+    close = durable(links(wide, radius, WIDE_BLOCKS, words=tuple(names), choose=nearest, **options).distinct())
+    sure = durable(alike(close, sets_of(close), least))
+    stars = components(sure)
+    labelled = wide.join(stars, "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"))
+    rest = durable(links(durable(labelled), radius, WIDE_BLOCKS, words=(*names, "label"), choose=across, **options).distinct().join(close, ["a", "b"], "left_anti"))
+    stars = durable(components(sure.unionAll(alike(rest, sets_of(rest), least))))
+    rooted = both.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = durable(rooted.join(firsts, "root").select("node", "component_id"))
+    return prints.select(id_col, "node").join(of_node, "node").select(id_col, "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -189,6 +189,45 @@ def test_similar_copies_go_and_others_stay(spark):
     assert kept == {*range(40), *range(200, 240), *range(1000, 1050), 2000}
 
 
+def brute_similar(rows):
+    """id: component of all pairs of five-word shingles' Jaccard similarity of 0.8 or more, by trying all."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sets:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("per_cell", [4096, 64])
+def test_similar_groups_are_those_of_all_pairs(spark, per_cell):
+    """Pairs from 0.75 to 0.86, and a large group of copies of one text."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        same = round(404 * 2 * (s := 0.75 + 0.11 * i / 120) / (1 + s)) - 8  # a changed tail leaves that many shingles the same
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(words[:same] + [f"v{rng.randrange(10**6)}" for _ in range(400 - same)]))]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for i in range(150):
+        changed = list(base)
+        for at in rng.sample(range(300), 6):
+            changed[at] = f"v{rng.randrange(10**6)}"
+        rows.append((2000 + i, " ".join(changed)))
+    want = brute_similar(rows)
+    assert 20 < sum(want[1000 + i] == i for i in range(120)) < 100
+    got = simhash.similar_groups(docs(spark, [(i, t, "en", "a", 1) for i, t in rows]), per_cell=per_cell, per_leaf=16)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
 def test_near_duplicate_edges(spark):
     rows = simhash.near_duplicates(clash(docs(spark), "fp", "fingerprint", "component_id")).collect()
     assert len(rows) == len(EDGE)
