@@ -40,7 +40,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOGIN = re.compile(r"://([^\s/?#@:]+:[^\s/?#@]*)@")
 _ACCOUNT = re.compile(r"(?:\s*(?:number|nummer|num|no|nr|id|code)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Za-z0-9](?:[A-Za-z0-9-]| (?=[A-Z0-9]{2,4}\b)){5,40})")
-_SECRET = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}(?:\"([^\"\s]{16,512})\"|'([^'\s]{16,512})'|([A-Za-z0-9_+/=.-]{16,512}))")
+_SET = re.compile(r"[\"']?\s{0,2}[:=]\s{0,2}")
+_SECRET = re.compile(_SET.pattern + r"(?:\"([^\"\s]{16,})\"|'([^'\s]{16,})'|([A-Za-z0-9_+/=.-]{16,}))")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -84,6 +85,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     spans: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
     run = -1
+    plain = 0  # the end of the last bare run after a secret's cue that has no digit: no part of it is looked at again
     for last, (what, size) in _automaton().iter(text):
         at = last - size + 1
         if what == "d":
@@ -127,10 +129,14 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                 if _iban(value) or len(value) >= 6 and sum(c.isdigit() for c in value) >= 4:
                     done["account"] = end
                     spans.append((m.start(1), end, 5))
+        elif not (m := _SET.match(text, last + 1)) or m.end() < max(plain, done["secret"] - 1):
+            continue
         elif (m := _SECRET.match(text, last + 1)) and (g := next(i for i in (1, 2, 3) if m.group(i))) and m.start(g) >= done["secret"]:
             if any(c.isdigit() for c in m.group(g)):
                 done["secret"] = m.end(g)
                 spans.append((m.start(g), m.end(g), 6))
+            elif g == 3:
+                plain = m.end(g)
     spans.sort(key=lambda s: (s[0], s[2]))
     return spans
 

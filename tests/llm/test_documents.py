@@ -436,6 +436,16 @@ def test_pii_adds_and_redacts(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def test_pii_secrets_of_any_length():
+    value = "a1B2c3" * 500
+    for t in (f'token = "{value}" end', f"password: '{value}' end", f"secret={value} end"):
+        assert [pii.KINDS[k] for _, _, k in pii.find(t)] == ["secret"]
+        assert value[:20] not in pii.redact(t) and value[-20:] not in pii.redact(t)
+    run = "token=" * 100_000  # looked through once, not once for each cue
+    assert pii.find(run) == []
+    assert pii.redact(f'{run}"{value}" end').endswith('"<SECRET>" end')
+
+
 # op9
 
 
