@@ -5,7 +5,7 @@ of three or more single letters are joined, so ``i.d.i.o.t`` and ``i d i o t`` r
 common subsequences of three symbols, each weighing ``decay`` to the power of the symbols it skips, up to a span of
 ``span``, and is normalized: inserted letters cost a word little of its likeness.
 
-*Landmarks.* Words that toxic training documents hold at a much higher rate than others. A sentence's
+*Landmarks.* Words of two letters or more that toxic training documents hold at a much higher rate than others. A sentence's
 feature for a landmark is the largest third power of the kernel (a kernel again) between the landmark and one of the
 sentence's words, taken as 0 where the kernel is below ``least``; the Nyström map multiplies by the inverse root of the landmarks' own kernel matrix.
 ``least`` lies below the kernel of a word of four letters with one more put inside (0.56). The third power of such a kernel says little, so
@@ -269,7 +269,7 @@ def logistic(f: np.ndarray, y: np.ndarray, turns: int = 50) -> np.ndarray:
 def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[str]:
     """Words that toxic texts hold at a much higher rate, surest first."""
     def words(text: str | None) -> set[str]:
-        return {w for w in _WORD.findall((text or "").lower()) if 4 <= len(w) <= 24}
+        return {w for w in _WORD.findall((text or "").lower()) if len(w) >= 2 and len(spelled(w)) > 2}
 
     in_pos, in_neg = Counter(), Counter()
     for text in (t for t, label in zip(texts, y) if label):

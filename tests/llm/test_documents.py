@@ -375,6 +375,14 @@ def test_toxicity_finds_one_inserted_letter():
     assert model.score(["The scrum was over.", "An idea is it.", "Consider it."]).max() < 0.7
 
 
+def test_toxicity_learns_short_and_long_insults():
+    for insult in ("git", "zx", "blockhead" * 4):
+        change = lambda t: re.sub(r"\b(idiot|scumbag|moron)\b", insult, t)  # noqa: E731, B023
+        model = toxicity.train([change(t) for _, t, _ in toxic_rows(400, 6)], [y for *_, y in toxic_rows(400, 6)])
+        held = toxic_rows(200, 7)
+        assert sum((s >= 0.7) == bool(y) for s, (*_, y) in zip(model.score([change(t) for _, t, _ in held]), held)) >= 196
+
+
 def test_toxicity_kernel_matches_its_definition():
     kernel = toxicity.Kernel()
     for word in ("idiot", "idxiot", "aaaa", "ab"):
