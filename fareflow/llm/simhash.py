@@ -159,13 +159,18 @@ def _pairs(fps: np.ndarray, radius: int, left: int | None, step: int = 512):
 
 
 def nearest(keys: np.ndarray, fps: np.ndarray, radius: int, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): for each row its nearest later one within radius, as far as there is one."""
-    out = [np.empty((2, 0), np.int64)]
+    """(a, b): for each row its nearest later and its nearest earlier one within radius, as far as there are any."""
+    out, near, earlier = [np.empty((2, 0), np.int64)], np.full(len(fps), radius + 1), np.zeros(len(fps), np.int64)
     for i, j, apart in _pairs(fps, radius, left):
         order = np.lexsort((apart, i))
         first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
         out.append(np.stack([i[first], j[first]]))
-    i, j = np.concatenate(out, axis=1)
+        order = np.lexsort((apart, j))
+        first = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+        first = first[apart[first] < near[j[first]]]
+        near[j[first]], earlier[j[first]] = apart[first], i[first]
+    some = np.flatnonzero(near <= radius)
+    i, j = np.concatenate([*out, np.stack([earlier[some], some])], axis=1)
     return np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
 
 
@@ -280,15 +285,18 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = ALIKE) -> DataFrame:
                 good = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                    good.append(shared >= least * (len(x) + len(y) - shared))
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    # Sizes alone rule many out before any set is moved.
+    size = lambda n: sets.select(F.col("node").alias(n), F.length("held").alias(f"n_{n}"))
+    pairs = durable(pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least - 1e-9)).select("a", "b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, radius: int = WIDE_RADIUS, **options) -> DataFrame:
-    """id, component_id of documents that links of an exact Jaccard similarity of five-word shingles of ``least`` or more connect.
+def _similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = ALIKE, radius: int = WIDE_RADIUS, **options) -> DataFrame:
+    """id, t (the text's hash), root, component_id of documents that links of an exact Jaccard similarity of five-word shingles of ``least`` or more connect.
 
     256-bit fingerprints only name candidates: at 0.8 about 39 bits differ (deviation 6), so the radius of 62 is nearly four deviations away, and of two
     such texts one of the 48 blocks is equal nearly always. Each text's nearest candidates are compared first; then all candidates that these
@@ -302,7 +310,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             wide = [wide_fingerprint(s, WIDE) for s in sets]
             words = [pa.array([None if v is None else v[w] - (v[w] >> 63 << 64) for v in wide], pa.int64()) for w in range(WIDE)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node), *words], [id_col, "node", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node), *words, batch.column("_ff_t")], [id_col, "node", *names, "t"])
 
     def held(batches):
         for batch in slices(batches, text_col):
@@ -312,40 +320,40 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A text's row in docs is found again by its hash: the sets of the few texts that have a candidate are made anew.
     hashed = docs.select(id_col, text_col).withColumn("_ff_t", F.xxhash64(text_col))
 
-    def with_hash(batches):
-        for batch in batches:
-            for part in slices([batch], text_col):
-                for out in run([part]):
-                    yield pa.RecordBatch.from_arrays([*out.columns, part.column("_ff_t")], [*out.schema.names, "t"])
-
-    prints = durable(hashed.mapInArrow(with_hash, f"{id_col} {kind}, node long, " + ", ".join(f"{n} long" for n in names) + ", t long"))
+    prints = durable(hashed.mapInArrow(run, f"{id_col} {kind}, node long, " + ", ".join(f"{n} long" for n in names) + ", t long"))
     both = durable(prints.groupBy("node", *names).agg(F.min(id_col).alias("least"), F.min("t").alias("t")))
     wide = both.where("w0 is not null").select("node", *names)
 
-    def sets_of(pairs):
-        used = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(both.select("node", "t"), "node")
-        texts = hashed.join(used, F.col("_ff_t") == F.col("t")).select("node", text_col).dropDuplicates(["node"])
-        return durable(texts.mapInArrow(held, "node long, held binary"))
-
     close = durable(links(wide, radius, WIDE_BLOCKS, words=tuple(names), choose=nearest, **options).distinct())
-    sure = durable(alike(close, sets_of(close), least))
+    # Whatever has a candidate has a nearest one, so these are all the texts that can link.
+    used = durable(close.select(F.col("a").alias("node")).unionAll(close.select("b")).distinct().join(both, "node"))
+    wanted = used.select("node", "t")
+    texts = hashed.join(F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted, F.col("_ff_t") == F.col("t")).select("node", text_col)
+    sets = durable(texts.mapInArrow(held, "node long, held binary").dropDuplicates(["node"]))
+    sure = durable(alike(close, sets, least))
     stars = components(sure)
-    labelled = wide.join(stars, "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"))
+    labelled = used.join(stars, "node", "left").select("node", *names, F.coalesce("root", "node").alias("label"))
     rest = durable(links(durable(labelled), radius, WIDE_BLOCKS, words=(*names, "label"), choose=across, **options).distinct().join(close, ["a", "b"], "left_anti"))
-    stars = durable(components(sure.unionAll(alike(rest, sets_of(rest), least))))
+    stars = durable(components(sure.unionAll(alike(rest, sets, least))))
     rooted = both.join(stars, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = durable(rooted.join(firsts, "root").select("node", "component_id"))
-    return prints.select(id_col, "node").join(of_node, "node").select(id_col, "component_id")
+    of_node = durable(rooted.join(firsts, "root").select("node", "root", "component_id"))
+    return prints.select(id_col, "t", "node").join(of_node, "node").select(id_col, "t", "root", "component_id")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, component_id of the groups of ``_similar_rows``."""
+    return _similar_rows(docs, id_col, text_col, **options).select(id_col, "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of ``similar_groups``: that with its smallest id. Rows without an id all stay, having no identity to go by."""
-    found = similar_groups(docs, id_col, text_col, **options)
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_ff_id")).distinct()
-    first = F.row_number().over(W.partitionBy("_ff_id").orderBy(F.lit(0)))
-    named = docs.join(ids, F.col(id_col) == F.col("_ff_id")).withColumn("_ff_n", first).where("_ff_n = 1").drop("_ff_n", "_ff_id")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each group of ``similar_groups``: that with its smallest id, and of rows that share it the one whose text has the
+    smallest hash. Rows without an id all stay, having no identity to go by."""
+    found = _similar_rows(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull())
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), "t")).alias("k")).select(F.col("k.i").alias("_ff_id"), F.col("k.t").alias("_ff_t"))
+    first = F.row_number().over(W.partitionBy("_ff_id", "_ff_t").orderBy(F.lit(0)))
+    named = docs.join(kept, (F.col(id_col) == F.col("_ff_id")) & (F.xxhash64(text_col) == F.col("_ff_t"))).withColumn("_ff_n", first).where("_ff_n = 1")
+    return named.drop("_ff_n", "_ff_id", "_ff_t").unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,13 @@ def test_similar_groups_are_those_of_all_pairs(spark, per_cell):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_repeated_ids_lose_no_text(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, two), (5, one), (5, two), (5, three), (5, three), (6, one)]
+    kept = simhash.without_near_duplicates(docs(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, two), (5, one), (5, three)]
+
+
 def test_near_duplicate_edges(spark):
     rows = simhash.near_duplicates(clash(docs(spark), "fp", "fingerprint", "component_id")).collect()
     assert len(rows) == len(EDGE)
