@@ -50,6 +50,15 @@ def test_models_give_rows(spark, name):
         assert catalogue.QUERIES[name](spark, SF).count() == 8
 
 
+@pytest.mark.parametrize("name", ["gbt_stress", "rf_stress"])
+def test_stress_models_have_their_whole_size(spark, name, monkeypatch):
+    from fareflow.plans import learning_queries
+
+    monkeypatch.setattr(learning_queries, "_report", lambda spark, sf, make, **options: make("y", **options))
+    model = catalogue.QUERIES[name](spark, None)
+    assert (model.getMaxIter(), model.getMaxDepth()) == (50, 4) if name == "gbt_stress" else (model.getNumTrees(), model.getMaxDepth()) == (100, 8)
+
+
 def test_entry_is_importable_without_session():
     import subprocess
     import sys
