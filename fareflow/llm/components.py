@@ -2,9 +2,9 @@
 
 Each turn links every node's larger neighbours to its smallest one (large star), then its smaller neighbours and
 itself to the smallest (small star); the edges end as stars around each component's smallest node, in a number of
-turns that grows with the logarithm of the longest path. A node of any degree is only ever summed (minima are taken
-before the shuffle) or met by its one minimum in a join whose long side adaptive execution may split. Each turn is
-written to the checkpoint folder; the driver sees a count and a checksum.
+turns that grows with the logarithm of the longest path. It goes on until a turn changes nothing. A node of any degree
+is only ever summed (minima are taken before the shuffle) or met by its one minimum in a join whose long side adaptive
+execution may split. Each turn is written to the checkpoint folder; the driver sees a count and a checksum.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
-def components(edges: DataFrame, most_turns: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, root: a row for each node that isn't its component's smallest."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_turns):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == before or mark[0] == 0:
             break
