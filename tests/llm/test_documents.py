@@ -173,6 +173,54 @@ def test_links_match_all_pairs(spark, per_cell):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(rows)
 
 
+def test_blocks_cover_every_radius():
+    for radius in range(13):
+        for n in (10, 10**6, 10**8):
+            blocks = simhash.cover(radius, n)
+            assert sorted(p for places, _ in blocks for p in places) == list(range(64))
+            assert sum(reach for _, reach in blocks) + len(blocks) > radius
+
+
+def test_partners_meet_in_a_leaf():
+    """Whatever 4 bits differ, in data that fill the space unevenly."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 62, 20000, dtype=np.uint64) & rng.integers(0, 1 << 62, 20000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(4):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    blocks = simhash.cover(4, 10**6)
+    met = np.zeros(len(x), bool)
+    for (places, _), tree in zip(blocks, simhash.plant(blocks, 10**6, x[:4096, None])):
+        at = [set() for _ in x]
+        for row, leaf in zip(*tree.leaves(simhash.gather(x[:, None], places))):
+            at[row].add(leaf)
+        for row, leaf in zip(*tree.leaves(simhash.gather(y[:, None], places))):
+            met[row] |= leaf in at[row]
+    assert met.all()
+
+
+def test_trees_grow_far_less_than_pairs():
+    """Rows after sharding and salting: less than five times as many for four times the fingerprints."""
+
+    def rows(n):
+        x = np.random.default_rng(1).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+        blocks, total = simhash.cover(4, n), 0
+        for (places, _), tree in zip(blocks, simhash.plant(blocks, n, x[:16384, None])):
+            size = np.unique(tree.leaves(simhash.gather(x[:, None], places))[1], return_counts=True)[1]
+            total += (size * np.where(size > 8192, -(-size // 4096), 1)).sum()
+        return total
+
+    assert rows(4_000_000) < 5 * rows(1_000_000)
+
+
+def test_shared_elements_match_set_intersections():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 62, 80, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(80) < 0.8], rng.integers(0, 50, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(60)] + [np.empty(0, np.uint64)]
+    want = [[len(np.intersect1d(a, b)) if i < j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert simhash.shared(sets, often=20, step=500).tolist() == simhash.shared(sets).tolist() == want
+
+
 def test_similar_copies_go_and_others_stay(spark):
     rng = random.Random(12)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
@@ -207,9 +255,9 @@ def brute_similar(rows):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("per_cell", [4096, 64])
-def test_similar_groups_are_those_of_all_pairs(spark, per_cell):
-    """Pairs from 0.75 to 0.86, and a large group of copies of one text."""
+@pytest.mark.parametrize(("per_cell", "cluster_rows"), [(8192, 1024), (64, 40)])
+def test_similar_groups_are_those_of_all_pairs(spark, per_cell, cluster_rows):
+    """Pairs from 0.75 to 0.86, and a large group of copies of one text; small cells and clusters force salted parts."""
     rng = random.Random(21)
     rows = []
     for i in range(120):
@@ -224,7 +272,7 @@ def test_similar_groups_are_those_of_all_pairs(spark, per_cell):
         rows.append((2000 + i, " ".join(changed)))
     want = brute_similar(rows)
     assert 20 < sum(want[1000 + i] == i for i in range(120)) < 100
-    got = simhash.similar_groups(docs(spark, [(i, t, "en", "a", 1) for i, t in rows]), per_cell=per_cell, per_leaf=16)
+    got = simhash.similar_groups(docs(spark, [(i, t, "en", "a", 1) for i, t in rows]), per_cell=per_cell, per_leaf=16, cluster_rows=cluster_rows)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
