@@ -8,15 +8,16 @@ Each partition then certifies its own bin count: lower bounds from dual feasible
 u(k) after the threshold functions U(e), and the volume) hold for any packing of its pieces, so a partition whose bins
 equal its bound is optimal and final. A partition with a gap keeps its full bins and hands the pieces of all others
 to an exchange: they are dealt anew, together with those of every other such partition, and packed again. A rerun
-replaces the former packing only if it needs fewer bins. It ends when nothing is open, a rerun gains nothing, or after
-``rounds`` reruns.
+replaces the former packing only if it needs fewer bins. It ends when nothing is open or when a rerun saves less than
+``gain`` of its bins. Column ``certified`` says which bins are full or of a certified partition; the others' number may not be the least.
 
 Scale: tokenizing is a map over Arrow batches; after it, only piece rows (about 60 bytes) move. The number of partitions
-follows the number of pieces, a partition's memory is its pieces, and the driver sees counts. Pieces are written to the
-checkpoint folder once, so nothing is tokenized twice when an executor is lost.
+follows the number of pieces, a partition's memory is its pieces, and the driver sees counts. Pieces are dealt by the
+hash of a row number, so equal rows don't meet in one partition. They are written to the checkpoint folder once, so
+nothing is tokenized twice when an executor is lost and row numbers stay.
 
 Null text is empty: one piece, the end mark alone. Repeated rows are packed as often as they occur. An empty table
-gives an empty result.
+gives an empty result. Columns other than id and text are not looked at; ``pack`` replaces columns that it sets itself.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, slices, table
+from .common import durable, slices, table, without
 
 #: All that byte_bpe_50k.json keeps as one token although it is no merge.
 SPECIAL = "<|endoftext|>"
@@ -56,15 +57,18 @@ def token_ids(text: str, tokenizer: str = "byte_bpe_50k.json", same_as: str | No
     """The ids that ``tokenizers`` gives with this file, as unsigned 32-bit numbers.
 
     same_as: the same vocabulary as ranks, which encodes several times as fast. It serves texts in Latin letters; texts
-    with code points from U+0250 on, where the two libraries' Unicode tables might differ, and those that hold the special
-    token take the library itself. None: always the library.
+    with code points from U+0250 on, where the two libraries' Unicode tables might differ, those that hold the special
+    token, and those with a run of blanks that is too long for its pattern's stack take the library itself. None: always the library.
     """
     import public_tokenizers
 
     if same_as and SPECIAL not in text:
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         if not len(raw) or raw.max() < 0xC9:
-            return np.asarray(_ranks(public_tokenizers.path(same_as), public_tokenizers.PATTERN).encode_to_numpy(text, disallowed_special=()), np.uint32)
+            try:
+                return np.asarray(_ranks(public_tokenizers.path(same_as), public_tokenizers.PATTERN).encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:
+                pass
     return np.array(_library(public_tokenizers.path(tokenizer)).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -133,51 +137,51 @@ def lower_bound(counts: np.ndarray, size: int, most_k: int = 12) -> int:
     return best
 
 
-def pack(pieces: DataFrame, size: int = 1024, per_partition: int = 32768, rounds: int = 3, seed: int = 7) -> DataFrame:
-    """pieces (with length) and sequence_id, offset: gapless from 0 within each sequence."""
+def pack(pieces: DataFrame, size: int = 1024, per_partition: int = 32768, gain: float = 0.002, seed: int = 7) -> DataFrame:
+    """pieces (with length) and sequence_id, offset (gapless from 0 within each sequence), certified.
+
+    Best-fit decreasing never needs more than 11/9 of the fewest bins (and one), so reruns that each save ``gain`` end by themselves.
+    """
+    pieces = durable(without(pieces, "sequence_id", "offset", "certified"))
     names = pieces.columns
-    pieces = durable(pieces)
     whole = pieces.where(F.col("length") >= size)
     state = pieces.where(F.col("length") < size)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, open boolean"
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, certified boolean"
 
     def deal(df: DataFrame, n: int, turn: int) -> DataFrame:
         parts = max(1, -(-n // per_partition))
-        return df.withColumn("_ff_part", F.pmod(F.xxhash64(F.lit(seed + turn), *[F.col(f"`{c}`") for c in names]), F.lit(parts)))
+        return df.withColumn("_ff_part", F.pmod(F.xxhash64(F.lit(seed + turn), F.monotonically_increasing_id()), F.lit(parts)))
 
     def packer(turn: int):
         def run(part: pa.Table) -> pa.Table:
             lengths = part["length"].to_numpy()
             bins, offsets, n = best_fit_decreasing(lengths, size)
-            gap = n > lower_bound(np.bincount(lengths, minlength=size + 1), size)
+            least = n == lower_bound(np.bincount(lengths, minlength=size + 1), size)
             full = np.bincount(bins, weights=lengths, minlength=n)[bins] == size
             first = (turn << 56) + (part["_ff_part"][0].as_py() << 32)
             out = part.select(names).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
-            return out.append_column("open", pa.array(gap & ~full))
+            return out.append_column("certified", pa.array(least | full))
 
         return run
 
     done: list[DataFrame] = []
-    n, last = state.count(), None
-    for turn in range(1, rounds + 2):
-        if not n:
-            break
+    n, last, turn = state.count(), None, 0
+    while n:
+        turn += 1
         now = durable(deal(state, n, turn).groupBy("_ff_part").applyInArrow(packer(turn), kind))
         if last is not None:
             bins = now.agg(F.count_distinct("sequence_id")).first()[0]
-            if bins >= last[1]:
+            if bins > last[1] * (1 - gain):
+                done.append(now if bins < last[1] else last[0])
                 break
-            last = None
-        done.append(now.where(~F.col("open")))
-        rest = now.where("open")
+        done.append(now.where("certified"))
+        rest = now.where("not certified")
         n, bins = rest.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         last, state = (rest, bins), rest.select(*names)
-    if last is not None and n:
-        done.append(last[0])
     # Whole sequences need no partner: they number themselves.
-    out = whole.select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = whole.select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     for df in done:
-        out = out.unionByName(df.drop("open"))
+        out = out.unionByName(df)
     return out
 
 
