@@ -54,6 +54,41 @@ def test_token_ids_agree_with_the_library():
         assert packing.token_ids(s).tolist() == packing.token_ids(s, same_as=None).tolist(), s
 
 
+def test_token_ids_of_long_runs():
+    """Blanks beyond the stack of the fast encoder's pattern."""
+    for t in (" " * 1_000_000, "\n" * 1_000_000, "\u00a0" * 1_000_000, "x" + "\t" * 900_000 + "y"):
+        assert (packing.token_ids(t) == packing.token_ids(t, same_as=None)).all()
+
+
+def test_pieces_are_those_of_a_plain_cut(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t in texts_of(spark).items():
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        first = len(ids) if len(ids) <= 1024 else (len(ids) % 1024 or 1024)
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, p] = (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))
+    rows = llm.QUERIES["op2_packing"](spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    check_packing(rows, 1024)
+
+
+def test_packing_deals_equal_rows_and_says_what_is_certified(spark):
+    equal = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(30).cast("long").alias("length"), F.lit("x").alias("offset"))
+    packed = packing.pack(equal, 100, per_partition=500)
+    rows = packed.collect()
+    assert check_packing(rows, 100) <= 1334 + 8 and packed.columns == ["doc_id", "length", "sequence_id", "offset", "certified"]
+    assert len({r["sequence_id"] >> 32 for r in rows}) >= 6  # partitions, although all rows are equal
+    assert all(r["certified"] for r in rows)
+    gap = spark.createDataFrame([(i, x) for i, x in enumerate((44, 24, 24, 22, 21, 17, 8, 8, 6, 6))], "id long, length long")  # three sequences would do
+    got = packing.pack(gap, 60).collect()
+    assert check_packing(got, 60) == 4 and {r["length"] for r in got if r["certified"]} == {22, 21, 17}
+
+
 def test_pieces_and_bounds():
     assert [p[1:3] for p in packing.pieces_of(np.arange(10, dtype="u4"), 4)] == [(0, 2), (2, 4), (6, 4)]
     assert [p[1:3] for p in packing.pieces_of(np.arange(8, dtype="u4"), 4)] == [(0, 4), (4, 4)]
@@ -377,6 +412,33 @@ def test_mix_edges_and_hot_sizes(spark):
     assert out.columns == docs(spark).columns and out.count() == got.agg(F.sum("copies")).first()[0]
 
 
+def test_mix_splits_equal_rows(spark):
+    """A thousand rows equal in id and text: as many as the target needs, also where they fill many ranges."""
+    for words, options in ((3, {}), (4, {"per_range": 16}), (4, {"per_range": 16, "broadcast_bytes": 0})):
+        text = "w " * words
+        d = docs(spark, [(1, text, "en", "a", 1)] * 1000 + [(2, text, "en", None, 1)] * 1000 + [(i, text, "en", "b", 1) for i in range(10, 40)])
+        got = mixing.mix(d, **options).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"))
+        for r in got.collect():
+            assert abs(r["taken"] - r["target"]) <= words and r["most"] <= 2
+
+
+def test_mixed_documents_keep_every_column(spark):
+    d = docs(spark, [(i, "one two three", "en", "a", 13) for i in range(20)]).withColumns({"size": F.lit("L0"), "Target": F.lit("keep"), "copies": F.lit(9), "_c": F.lit(1)})
+    out = mixing.mixed_documents(d)
+    assert out.dtypes == d.dtypes
+    assert {(r["size"], r["Target"], r["copies"]) for r in out.collect()} == {("L0", "keep", 9)}
+
+
+def test_fill_needs_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    take = mixing.fill([2 * i for i in range(1, 4001)], [50] * 4000, 65535)
+    assert sum(2 * (i + 1) * n for i, n in enumerate(take)) == 65534
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_fit_is_exact_where_it_can_be():
     rng = random.Random(5)
     for _ in range(100):
