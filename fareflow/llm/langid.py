@@ -3,14 +3,17 @@
 A window of ``window`` bytes goes through filters of several widths over its one-hot bytes, a rectifier, a maximum over all
 places of the window, and a softmax over the languages. Since a filter on one-hot bytes is a sum of table rows, a layer
 is a few look-ups a byte. Training (Adam, in numpy) takes windows of at most ``train_rows`` labelled documents of each
-language, those with the smallest hash of their id: a bound that doesn't grow with the input.
+language, those with the smallest hash of their id, a stretch of ``max_chars`` of each; where languages are so many that this makes
+more than ``train_rows_in_all``, each lends fewer. Every language that a document is labelled with can be predicted.
 
 Prediction covers every text whole: fixed-length windows side by side, the last one shifted back to end with the text and
 weighted by the bytes it adds, batched over texts; a text's logits are the weighted mean of its windows'. Letters are
 lower-cased for both, and digits and marks become blanks, so junk around words doesn't matter.
 
-A map over bounded Arrow batches. ``und`` with score 0 for null texts and texts without a letter; a model without any
-training text knows no language and says ``und`` throughout.
+A map over bounded Arrow batches. The sample takes two passes over ids and languages and one over texts, whatever the number of
+languages. ``und`` with score 0 for null texts and texts without a letter; a model without any training text knows no language
+and says ``und`` throughout. Repeated rows are predicted alike; an empty table gives an empty result; columns other than id and text
+are not looked at.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, slices, table
+from .common import crc32_mod, durable, slices, table
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
@@ -145,26 +149,27 @@ def train(texts: list[str], labels: list[str], widths: tuple[int, ...] = (2, 3,
     return net
 
 
-def labelled_sample(docs: DataFrame, may_learn: Column | None, train_rows: int, max_languages: int, max_chars: int) -> tuple[list[str], list[str]]:
-    """Texts and languages: of each of the most frequent languages the documents with the smallest hash of their id."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+def labelled_sample(docs: DataFrame, may_learn: Column | None, train_rows: int, train_rows_in_all: int, max_chars: int) -> tuple[list[str], list[str]]:
+    """Texts and languages: of each language the documents with the smallest hash of their id."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     known = known if may_learn is None else known.where(may_learn)
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    texts: list[str] = []
-    labels: list[str] = []
-    for lang in langs:
-        # ids first, so that few texts move; a text lends a stretch of max_chars, from anywhere in it
-        ids = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(train_rows)
-        at = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.lit(1), F.length("text") - max_chars)).cast("int") + 1
-        few = known.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", at, F.lit(max_chars)).alias("t"))
-        got = sorted((r["doc_id"], r["t"]) for r in few.collect())
-        texts += [t for _, t in got]
-        labels += [lang] * len(got)
-    return texts, labels
-
-
-def fitted(docs: DataFrame, may_learn: Column | None = None, train_rows: int = 600, max_languages: int = 256, max_chars: int = 2000) -> Network:
-    return train(*labelled_sample(docs.select("doc_id", "text", "lang"), may_learn, train_rows, max_languages, max_chars))
+    ids = known.select("lang", "doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 1).alias("h"))
+    # About how many there are of each language says which hashes are worth ranking: twice as many as are wanted, and some.
+    sizes = durable(ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")))
+    languages = sizes.count()
+    each = max(1, min(train_rows, train_rows_in_all // max(1, languages)))
+    near = ids.join(F.broadcast(sizes) if languages <= 10_000 else sizes, "lang").where(F.col("h") <= F.least(F.lit(1.0), (2 * each + 64) / F.col("n")) * F.lit(float(1 << 63))).dropDuplicates(["lang", "doc_id"])
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    few = near.withColumn("place", place).where(F.col("place") <= each).select("lang", "doc_id")  # train_rows_in_all rows at most, or one a language
+    # a text lends a stretch of max_chars, from anywhere in it
+    at = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.lit(1), F.length("text") - max_chars)).cast("int") + 1
+    got = known.where("text is not null").join(F.broadcast(few), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", at, F.lit(max_chars)).alias("t")).collect()
+    got = sorted((r["lang"], r["doc_id"], r["t"]) for r in got)
+    return [t for *_, t in got], [lang for lang, *_ in got]
+
+
+def fitted(docs: DataFrame, may_learn: Column | None = None, train_rows: int = 600, train_rows_in_all: int = 60_000, max_chars: int = 2000) -> Network:
+    return train(*labelled_sample(docs.select("doc_id", "text", "lang"), may_learn, train_rows, train_rows_in_all, max_chars))
 
 
 def identify(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
