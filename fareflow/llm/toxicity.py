@@ -22,9 +22,11 @@ from sums alone, for all words at once in numpy; only words whose bound reaches
 others' features are exactly zero. So nearly all text costs a few table look-ups a character.
 
 Training takes at most ``train_positive`` and ``train_negative`` labelled documents (those with the smallest hash of their
-id), a bound that doesn't grow with the input; scoring covers every document, whole. It is a map over bounded Arrow
+id, none above ``max_text_bytes``, and of each kind as many as ``max_bytes`` hold), a bound that doesn't grow with the input; scoring covers
+every document, whole. It is a map over bounded Arrow
 batches. Null and empty texts score what a text without any suspicious word scores. Without labels of both kinds, or
-without any word that tells them apart, every score is 0. Where labels repeat, the larger one counts.
+without any word that tells them apart, every score is 0. Where labels repeat, the larger one counts. Repeated rows score alike; an
+empty table gives an empty result. ``score_documents`` looks at id and text alone; ``without_toxic`` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, slices, table
@@ -133,7 +136,8 @@ class Landmarks:
         self.memo: dict[bytes, np.ndarray | None] = {}
 
     def gram(self) -> np.ndarray:
-        return (self.weights.T.astype(float) @ self.weights) ** self.power
+        """The landmarks' features for each other: the same function as any word's."""
+        return self.own.astype(float)
 
     def look(self, words: list[bytes]) -> None:
         """Put into memo what each new word has: the kernel with each landmark to the power, 0 where the kernel is below least;
@@ -238,6 +242,12 @@ class Landmarks:
         return np.array([where[x] for x in rows]), np.stack(list(rows.values()))
 
 
+def inverse_root(gram: np.ndarray) -> np.ndarray:
+    """The Nyström map. Cut at least, the landmarks' matrix has small eigenvalues about 0 and below: their directions are left out."""
+    values, vectors = np.linalg.eigh(gram)
+    return vectors * np.where(values > 1e-3, np.maximum(values, 1e-3) ** -0.5, 0) @ vectors.T
+
+
 def l2_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, turns: int = 30) -> tuple[np.ndarray, float]:
     """Squared hinge loss with weights, by Newton steps on the active rows. y: -1 or 1."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -333,8 +343,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = 128, least: floa
     if not words:
         return Model(None)
     marks = Landmarks(words, Kernel(), least, power, clean_likes(words, [t for t, label in zip(texts, y) if not label]))
-    values, vectors = np.linalg.eigh(marks.gram())
-    nystrom = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+    nystrom = inverse_root(marks.gram())
     parts = [(lo, *marks.sentences(texts[lo : lo + 32])) for lo in range(0, len(texts), 32)]
     at, x = np.concatenate([lo + a for lo, a, _ in parts]), np.concatenate([x for _, _, x in parts]) @ nystrom
     bare = np.setdiff1d(np.arange(len(texts)), at)  # texts without any suspicious sentence count as one without features
@@ -348,21 +357,24 @@ def train(texts: list[str], labels: list[int], landmarks: int = 128, least: floa
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column | None, train_positive: int, train_negative: int) -> tuple[list[str], list[int]]:
-    """Texts and labels, chosen by hash among the labelled documents: a bounded number of each kind."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column | None, train_positive: int, train_negative: int, max_text_bytes: int, max_bytes: int) -> tuple[list[str], list[int]]:
+    """Texts and labels, chosen by hash among the labelled documents: a bounded number and size of each kind."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known if may_learn is None else known.where(may_learn)
     known = known.groupBy(F.col("doc_id").alias("_ff_id")).agg(F.max("toxic").alias("_ff_y"))
     order = [F.xxhash64(F.lit(3), "_ff_id"), F.col("_ff_id")]
     few = known.where("_ff_y = 1").orderBy(*order).limit(train_positive).unionAll(known.where("_ff_y = 0").orderBy(*order).limit(train_negative))
     # few has train_positive + train_negative rows at most
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), F.col("doc_id") == F.col("_ff_id")).groupBy("_ff_id").agg(F.min("text").alias("t"), F.max("_ff_y").alias("y"))
+    texts = docs.where(F.octet_length("text") <= max_text_bytes).join(F.broadcast(few), F.col("doc_id") == F.col("_ff_id"))
+    rows = texts.groupBy("_ff_id").agg(F.min("text").alias("t"), F.max("_ff_y").alias("y"))
+    upto = F.sum(F.octet_length("t")).over(W.partitionBy("y").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("_ff_id", "t", "y")
     got = sorted(rows.toLocalIterator(prefetchPartitions=False), key=lambda r: r["_ff_id"])
     return [r["t"] for r in got], [int(r["y"]) for r in got]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, train_positive: int = 1200, train_negative: int = 2800) -> Model:
-    return train(*labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), may_learn, train_positive, train_negative))
+def fitted(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, train_positive: int = 1200, train_negative: int = 2800, max_text_bytes: int = 1 << 20, max_bytes: int = 32 << 20) -> Model:
+    return train(*labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), may_learn, train_positive, train_negative, max_text_bytes, max_bytes))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
