@@ -8,12 +8,15 @@ its text went with them:
 * boilerplate: licence, copyright, consent and subscription phrases, shouted lines, one word repeated over and over,
   and lines that the document already had.
 
+Phrases and menu words are listed for English, German, French and Spanish; a pattern looks at a bounded stretch from each place, so a
+line of any length takes time in proportion.
+
 Documents are also measured as a whole (words, symbols, repeated lines, repeated three-word windows); too short or
 too repetitive ones are rejected before their lines are looked at.
 
 Everything is a pure function of one row, run over Arrow batches that are cut to a few megabytes of text: no shuffle,
 no state, memory bounded by the largest single text. Null text counts as empty: no words, rejected as too short.
-Repeated rows are judged alike; extra columns pass through ``clean_lines`` untouched.
+Repeated rows are judged alike; extra columns pass through ``clean_lines`` untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,13 +39,24 @@ _CLOSERS = "\"'’”»)] \t"
 _SYMBOL_RUN = re.compile(r"[^\w\s.,;:!?'\"’“”()«»¿¡-]{2,}")
 _SEPARATOR = re.compile(r"[|»•›>/~·]")
 _SEPARATORS = re.compile(r"(?:^|\s)[|»•›>/~·](?=\s|$)")
-_BOILERPLATE = re.compile(
-    r"\blicen[sc]ed under\b|\ball rights reserved\b|\bunder the [\w ]*licen[sc]e\b|\bis licen[sc]ed\b|\bcopyright\b|©"
-    r"|\bprivacy policy\b|\bterms of (?:use|service)\b|\b(?:uses?|accept(?: all)?) cookies\b|\bsubscribe to\b|\bsign up for\b|\bclick here\b|\benable javascript\b"
-)
-#: One of these is in every phrase that _BOILERPLATE knows.
-_CUES = ("licen", "rights reserved", "copyright", "©", "privacy policy", "terms of", "cookies", "subscribe", "sign up", "click here", "javascript")
-_MENU = frozenset("home login logout register contact about sitemap menu search next previous back top skip help faq cart account share tweet print rss".split())
+#: Phrases of licences, copyright, consent and subscription, by language. Each is tried on lines of any language.
+PHRASES = {
+    "en": (r"licen[sc]ed under", r"all rights reserved", r"under the [\w ]{0,80}licen[sc]e", r"is licen[sc]ed", r"copyright", r"privacy policy", r"terms of (?:use|service)", r"(?:uses?|accept(?: all)?) cookies", r"subscribe to", r"sign up for", r"click here", r"enable javascript"),
+    "de": (r"alle rechte vorbehalten", r"lizenziert unter", r"urheberrecht\w{0,20}", r"datenschutzerklärung", r"nutzungsbedingungen", r"cookies (?:akzeptieren|zulassen)", r"verwendet cookies", r"newsletter abonnieren", r"hier klicken", r"klicken sie hier", r"javascript aktivieren"),
+    "fr": (r"tous droits réservés", r"sous licence", r"droits? d[’']auteur", r"politique de confidentialité", r"conditions d[’']utilisation", r"accepter (?:tous )?les cookies", r"utilise des cookies", r"abonnez-vous", r"cliquez ici", r"activez javascript"),
+    "es": (r"todos los derechos reservados", r"bajo (?:la )?licencia", r"derechos de autor", r"política de privacidad", r"condiciones de uso", r"aceptar (?:todas )?las cookies", r"utiliza cookies", r"suscríbe(?:te|se) a", r"haga clic aquí", r"haz clic aquí", r"active javascript"),
+}
+_BOILERPLATE = re.compile(r"©|\b(?:" + "|".join(p for of in PHRASES.values() for p in of) + r")\b")
+#: One of these is in every phrase.
+_CUES = ("licen", "lizenz", "recht", "rights reserved", "copyright", "©", "privacy policy", "terms of", "cookies", "subscribe", "sign up", "click here", "javascript", "datenschutz", "nutzungsbed", "newsletter", "klick", "droits", "confidentialité", "conditions d", "abonnez", "cliquez", "derechos", "privacidad", "condiciones de", "suscríbe", "clic aquí")
+#: Words of menus, by language.
+MENU = {
+    "en": "home login logout register contact about sitemap menu search next previous back top skip help faq cart account share tweet print rss",
+    "de": "startseite anmelden abmelden registrieren kontakt impressum suche suchen weiter zurück hilfe warenkorb konto teilen drucken",
+    "fr": "accueil connexion déconnexion inscription recherche suivant précédent retour aide panier compte partager imprimer",
+    "es": "inicio acceder salir registro contacto buscar siguiente anterior volver ayuda carrito cuenta compartir imprimir",
+}
+_MENU = frozenset(" ".join(MENU.values()).split())
 
 
 @dataclass(frozen=True)
