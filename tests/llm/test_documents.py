@@ -514,12 +514,67 @@ def test_toxicity_kernel_matches_its_definition():
         assert dict(zip(codes.tolist(), values.tolist())) == pytest.approx({c: v / norm for c, v in phi.items()})
 
 
+def plain_kernel(a, b):
+    """Common subsequences of three symbols, each weighing 0.6 for each symbol skipped, normalized."""
+
+    def phi(w):
+        out, s = Counter(), [0, *[c for c in toxicity.symbols(w).tolist() if c != toxicity.SKIP]]
+        for i in range(len(s)):
+            for k in range(i + 2, min(i + 6, len(s))):
+                for j in range(i + 1, k):
+                    out[s[i], s[j], s[k]] += 0.6 ** (k - i - 2)
+        return out
+
+    x, y = phi(a), phi(b)
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[c] for c, v in x.items()) / norm if norm else 0.0
+
+
+def test_toxicity_scores_are_those_of_a_plain_machine():
+    """Sentence features, landmark matrix, map, margins and score worked out word by word."""
+    rows = toxic_rows(300, 16)
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows])
+    marks = model.landmarks
+    words = ["".join(chr(c + 96) for c in w[1:]) for w in marks.words]
+    assert set(words) >= {"idiot", "scumbag", "moron"}
+
+    def feature(word):
+        k = np.array([plain_kernel(word, m) for m in words])
+        x = np.where(k >= 0.55, k**3, 0)
+        for j in np.flatnonzero(k >= 0.55):
+            if toxicity.spelled(word) not in marks.clean and toxicity.gapped(toxicity.spelled(word), marks.words[j]):
+                x = np.maximum(x, feature(words[j]))
+        return x
+
+    gram = np.array([feature(w) for w in words])
+    assert marks.gram() == pytest.approx(gram, abs=1e-5)
+    root = toxicity.inverse_root(gram)
+    assert gram @ root @ root @ gram == pytest.approx(gram, abs=2e-2)
+    for text in [t for _, t, _ in toxic_rows(40, 17)] + ["He is an idqiot. A scumbags! What a morron", "Quiet words. Nothing else."]:
+        features = [np.max([feature(w) for w in re.findall(r"[a-z]+", s.lower())], axis=0) for s in re.split(r"(?<=[.!?])\s", text) if re.search("[a-z]", s.lower())]
+        margins = sorted((max(0.0, f @ model.v) + model.bias if f.any() else model.bias for f in features), reverse=True)[:3]
+        margins += [model.bias] * (3 - len(margins))
+        margins = sorted(margins, reverse=True)
+        logit = max(np.dot(margins, model.curve[:-1]) + model.curve[-1], margins[0] * model.single[0] + model.single[1])
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-3), text
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = toxic_rows(60, 8)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    d = docs(spark, [(i, t + "x" * (10_000 if i == 5 else 0), "en", "a", 1) for i, t, _ in rows])
+    texts, found = toxicity.labelled_sample(d, labels, None, 50, 50, 5_000, 2_000)
+    assert max(map(len, texts)) <= 5_000 and all(sum(len(t) for t, y in zip(texts, found) if y == k) <= 2_000 for k in (0, 1)) and set(found) == {0, 1}
+
+
 def test_toxicity_edges(spark):
     rows = toxic_rows(60, 8)
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     d = docs(spark, [(i, t, "en", "a", len(t)) for i, t, _ in rows] + [(None, None, None, None, None), (99, LONG, "en", "a", 1)])
     model = toxicity.fitted(clash(d, "score"), labels)
     assert toxicity.score_documents(d, model).count() == 62
+    twice = toxicity.score_documents(d.unionAll(d), model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k")).collect()
+    assert all(r["n"] == 2 and r["k"] == 1 for r in twice)
     kept = toxicity.without_toxic(d, model)
     assert kept.columns == d.columns and 48 <= kept.count() <= 52
     assert toxicity.score_documents(docs(spark, []), toxicity.fitted(docs(spark, []), labels)).count() == 0
@@ -561,6 +616,32 @@ def test_pii_adds_and_redacts(spark):
     assert pii.find_pii(docs(spark, [])).count() == 0
 
 
+def spans_of(t, kind):
+    return [t[a:b] for a, b, k in pii.find(t) if pii.KINDS[k] == kind]
+
+
+def test_pii_accounts_of_any_length():
+    value = "X12-34" * 300
+    assert spans_of(f"account no. {value} end", "account") == [value]
+    assert spans_of("IBAN: DE89 3704 0044 0532 0130 00 AND MORE", "account") == ["DE89 3704 0044 0532 0130 00"]
+    assert spans_of("Konto GB82WEST12345698765432, passport X1234567-", "account") == ["GB82WEST12345698765432", "X1234567"]
+    assert spans_of("account of the house, iban none, passport AB12", "account") == []
+    assert pii.find("IBAN " * 100_000) == pii.find("account: " * 100_000) == []
+
+
+def test_pii_addresses():
+    for t, want in {
+        "He lives at 221B Baker Street, London.": "221B Baker Street", "1600 Pennsylvania Ave. is white": "1600 Pennsylvania Ave.", "in der Musterstraße 12a in Berlin": "Musterstraße 12a",
+        "Lange Straße 7, 10115": "Lange Straße 7", "au 10 rue de la Paix, Paris": "10 rue de la Paix", "12 bis, avenue Victor Hugo": "12 bis, avenue Victor Hugo", "en Calle Mayor 25, Madrid": "Calle Mayor 25", "Avenida de América, 3.": "Avenida de América, 3",
+    }.items():
+        assert spans_of(t, "street") == [want], t
+    for t in ("the street was long", "In 1999 the Street view", "la rue est longue", "Place de la", "3 roads and a lane", "Die Straße war lang", "rue " * 50_000, "1 A " * 50_000 + "Street"):
+        assert spans_of(t, "street") in ([], ["1 A Street"]), t[:40]
+    assert spans_of("from 2001:db8:85a3::8a2e:370:7334 and fe80::1:2, ::1", "ipv6") == ["2001:db8:85a3::8a2e:370:7334", "fe80::1:2"]
+    assert spans_of("1:2:3:4:5:6:7:8 or 12:30:45, a::b, std::vector, x:1:2:3:4:5:6:7:8", "ipv6") == ["1:2:3:4:5:6:7:8"]
+    assert pii.find("a:" * 200_000) == [] and pii.redact("at fe80::1:2 now") == "at <IPV6> now"
+
+
 def test_pii_secrets_of_any_length():
     value = "a1B2c3" * 500
     for t in (f'token = "{value}" end', f"password: '{value}' end", f"secret={value} end"):
@@ -585,3 +666,38 @@ def test_language_accuracy_and_edges(spark):
     rows = langid.identify(clash(docs(spark), "score", "lang_pred"), net).collect()
     assert len(rows) == len(EDGE)
     assert langid.fitted(docs(spark, [])).predict(["text"]) == (["und"], [0.0])
+    assert langid.identify(docs(spark, []), net).count() == 0
+    long = ["word" * 300_000, " " * 1_000_000, "\n".join(["wort"] * 200_000)]  # a megabyte without blanks, and one of nothing else
+    assert net.predict(long)[0][1] == "und" and net.predict(long)[1][0] > 0
+
+
+def test_language_scores_are_those_of_a_plain_network():
+    """Windows, filters, maxima and softmax worked out byte by byte."""
+    net = langid.train(["the cat and the dog went home " * 20, "der hund und die katze gehen heim " * 20] * 6, ["en", "de"] * 6, filters=3, window=32, epochs=2)
+
+    def logits(window):
+        best = []
+        for w, table in zip(net.widths, net.tables):
+            sums = [[sum(float(table[k][window[i + k]][f]) for k in range(w)) for f in range(3)] for i in range(len(window) - w + 1)]
+            best += [max(0.0, max(s[f] for s in sums)) for f in range(3)]
+        return [sum(b * float(net.out[i][c]) for i, b in enumerate(best)) + float(net.out[-1][c]) for c in range(2)]
+
+    for text in ("the dog", "Die Katze, 12 und der Hund! " * 4, "x" * 33, "und the " * 8):
+        raw = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+        starts = range(0, len(raw), 32) if len(raw) > 32 else [0]
+        total = [0.0, 0.0]
+        for s in starts:
+            part = raw[max(0, min(s, len(raw) - 32)) :][:32]
+            share = min(32, len(raw) - s) / len(raw) if len(raw) > 32 else 1
+            for c, z in enumerate(logits(part + [0] * (32 - len(part)))):
+                total[c] += share * z
+        p = np.exp(total) / np.exp(total).sum()
+        (label,), (score,) = net.predict([text])
+        assert label == net.languages[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_every_language_can_be_learned(spark):
+    """More languages than rows to learn from in all: one document each; and a hot id doesn't crowd out the others."""
+    rows = [(i, f"text of {i % 30} " * 3, f"l{i % 30:02d}", "a", 1) for i in range(300)] + [(7, "again and again", "l07", "a", 1)] * 500
+    texts, labels = langid.labelled_sample(docs(spark, rows), None, 600, 60, 100)
+    assert {f"l{i:02d}" for i in range(30)} == set(labels) and Counter(labels)["l01"] == 2
