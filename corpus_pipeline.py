@@ -1,7 +1,13 @@
 """The corpus pipeline: documents without toxic ones and near copies, free of personal data, mixed and packed.
 
 Each stage is one of the operators in ``fareflow.llm`` and works on everything that its predecessor kept. Its result is
-written as Parquet and read again, so a lost executor never costs more than the stage at hand.
+written as Parquet in the shared folder and read again, so a lost executor never costs more than the stage at hand; once the
+next stage is written, it is removed.
+
+Null texts count as empty throughout: they aren't toxic, are copies of each other, and are never mixed in. Rows without doc_id
+pass the near-copy stage, having no identity to go by. Repeated rows are copies of each other. A null source is a source of its
+own. Extra columns pass all stages but the last, whatever their names. Empty tables give an empty result; without labels nothing
+is toxic.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fareflow.llm import mixing, packing, pii, simhash, toxicity
-from fareflow.llm.common import crc32_mod, shared_folder, table
+from fareflow.llm.common import crc32_mod, removed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return docs
