@@ -91,7 +91,7 @@ def clean_text(c: str | Column) -> Column:
 def title_case(c: str | Column) -> Column:
     """Each letter that doesn't follow a letter is upper-case, all others lower-case."""
     words = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"))
-    return F.concat_ws("", F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
+    return F.concat_ws("", F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))))
 
 
 def snapshot_date(c: str | Column) -> Column:
@@ -149,6 +149,26 @@ def filled_from_each_other(a: str, b: str, mismatch: bool = False) -> dict[str,
     return {a: F.coalesce(x, y), b: second}
 
 
+def integral_or_one(c: str | Column) -> Column:
+    """A whole number, or 1 for anything else."""
+    x = col(c).cast("string").try_cast("double")
+    return F.when(x == F.floor(x), x.cast("int")).otherwise(F.lit(1))
+
+
+def within(c: str | Column, first: str | None = None, last: str | None = None) -> Column:
+    """Whether a date lies in a range; both ends belong to it, and an end that isn't given is open."""
+    d = F.to_date(col(c))
+    out = d.isNotNull()
+    out = out if first is None else out & (d >= F.lit(first).cast("date"))
+    return out if last is None else out & (d <= F.lit(last).cast("date"))
+
+
+def from_web_mercator(x: str | Column, y: str | Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of a point in metres on the web's map projection (a sphere of 6,378,137 m)."""
+    radius = 6378137.0
+    return F.degrees(col(x) / radius), F.degrees(2 * F.atan(F.exp(col(y) / radius)) - F.lit(3.141592653589793 / 2))
+
+
 def safe_names(names: Iterable[str]) -> list[str]:
     """Names of letters, digits and single underscores, made unique by a number."""
     import re

@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import within
 from .validate import first_per_key
 
 PRICE = "total_amount_std"
 
 
-def priced(df: DataFrame, cap: float = 500.0) -> DataFrame:
-    """Trips that price aggregates count: all keys there, hour in range, price above 0 and below the cap."""
+def priced(df: DataFrame, cap: float = 500.0, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Trips that price aggregates count: all keys there, hour in range, price above 0 and below the cap, date in a range."""
     keys = [c for c in ("date", "hour", "pu_location_id", "service_type", PRICE) if c in df.columns]
     keep = F.col("hour").between(0, 23) & (F.col(PRICE) > 0) & (F.col(PRICE) < cap)
+    keep = keep if first is None and last is None else keep & within("date", first, last)
     return df.dropna(subset=keys).where(keep)
 
 
@@ -201,6 +203,41 @@ def mean_of_means(df: DataFrame, keys: Sequence[str], outer: str, value: str) ->
     return df.groupBy(*keys).agg(F.avg(value).alias("_m")).groupBy(outer).agg(F.avg("_m").alias(f"mean_{value}"), F.count("*").alias("n_cells"))
 
 
+def box(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Least, quartiles, most and mean by key."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    found = df.groupBy(*keys).agg(F.min(value).alias("least"), q.alias("_q"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return found.select(*keys, "least", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "most", "mean")
+
+
+def seeded_sample(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
+    """Rows whose key's seeded digest is below the fraction: the same rows on every run and any partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") < fraction * 2.0**32)
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """A report's rows with their place in a total order, and in that order."""
+    return df.withColumn("place", F.row_number().over(W.orderBy(*order))).orderBy("place")
+
+
+def residuals(df: DataFrame, truth: str, prediction: str, by: Sequence[str]) -> DataFrame:
+    """The mean of truth less prediction by key."""
+    return df.groupBy(*by).agg(F.avg(F.col(truth) - F.col(prediction)).alias("residual"))
+
+
+def scan_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: rows read, and how many meet each condition, from one pass over them."""
+    return df.agg(F.count("*").alias("n_rows"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def dummies(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
+    """A 0/1 column for each level seen in training, and one for null; other values have none, so any table gets the same columns."""
+    x = F.col(column)
+    flags = {f"{column}_{level}": F.coalesce((x == level).cast("int"), F.lit(0)) for level in levels}
+    return df.withColumns(flags | {f"{column}_null": x.isNull().cast("int")}).drop(column)
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first n rows in an order that must be total."""
     return df.orderBy(*order).limit(n)

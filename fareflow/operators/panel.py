@@ -22,7 +22,9 @@ def by_zone():
     return W.partitionBy(ZONE).orderBy(TIME)
 
 
-def hourly_counts(trips: DataFrame) -> DataFrame:
+def hourly_counts(trips: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Trips by zone and hour; valid: those that count."""
+    trips = trips if valid is None else trips.where(valid & F.col(ZONE).isNotNull() & F.col("date").isNotNull() & F.col("hour").between(0, 23))
     return trips.groupBy(ZONE, at_hour("date", "hour").alias(TIME)).agg(F.count("*").alias("n_trips"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import at_hour
+from ..session import durable
 from .panel import TIME, ZONE
 
 HORIZONS = (1, 3, 24)
@@ -73,10 +74,12 @@ def labelled(panel: DataFrame, train_end: DataFrame, quantile: float = 0.9, hori
 
 
 def slots(panel: DataFrame) -> DataFrame:
-    """By zone, day of the week and hour: means, ninth deciles and rates."""
+    """By zone, day of the week and hour: means, ninth deciles and rates; with borough, weather and events as far as the panel has them."""
+    keys = [ZONE, *[c for c in ("borough",) if c in panel.columns], "day_of_week", "hour", *[c for c in ("hour_block_3h",) if c in panel.columns]]
     deciles = {c: F.percentile(c, F.lit(0.9)).alias(f"{c}_p90") for c in ("stress_score", "n_trips", "price_variability")}
-    means = [F.avg(c).alias(f"{c}_mean") for c in ("stress_score", "n_trips", "price_variability", "avg_price") if c in panel.columns]
-    return panel.groupBy(ZONE, "day_of_week", "hour").agg(F.count("*").alias("n_obs"), F.avg(F.col("is_stress_now").cast("double")).alias("stress_rate"), *means, *deciles.values())
+    means = [F.avg(c).alias(f"{c}_mean") for c in ("stress_score", "n_trips", "price_variability", "avg_price", "temp_c", "precip_mm", "city_n_events") if c in panel.columns]
+    means += [F.avg(F.col("city_has_event").cast("double")).alias("city_has_event_rate")] if "city_has_event" in panel.columns else []
+    return panel.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg(F.col("is_stress_now").cast("double")).alias("stress_rate"), *means, *deciles.values())
 
 
 def baselines(panel: DataFrame, target: str = "target_stress_t1") -> DataFrame:
@@ -108,6 +111,19 @@ def class_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] =
     return out.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), zero), zero))
 
 
+def top_classes(df: DataFrame, target: str, predictions: Sequence[str], quantile: float = 0.9) -> DataFrame:
+    """df with is_top_<column> of target and predictions: whether it reaches the target's quantile among training rows. Needs split."""
+    limit = df.where(F.col("split") == "train").agg(F.percentile(target, F.lit(quantile)).alias("_limit"))
+    out = df.crossJoin(F.broadcast(limit))  # one row
+    return out.withColumns({f"is_top_{c}": (F.col(c) >= F.col("_limit")).cast("int") for c in (target, *predictions)}).drop("_limit")
+
+
+def overfit_gaps(reports: DataFrame, metric: str = "rmse") -> DataFrame:
+    """model, its metric on train, val and test, and by how much the later parts are worse than training."""
+    wide = reports.groupBy("model").pivot("split", ["train", "val", "test"]).agg(F.first(metric))
+    return wide.withColumns({f"{s}_gap": F.col(s) - F.col("train") for s in ("val", "test")})
+
+
 def best_model(reports: DataFrame, metric: str = "rmse", by: Sequence[str] = ()) -> DataFrame:
     """The model with the smallest metric (of equals the first by name): choose on validation, report test once."""
     return reports.groupBy(*by).agg(F.min_by("model", F.struct(metric, "model")).alias("model"), F.min(metric).alias(metric))
@@ -116,7 +132,7 @@ def best_model(reports: DataFrame, metric: str = "rmse", by: Sequence[str] = ())
 def row_split(panel: DataFrame, order: Sequence[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
     """split by place in a total order instead of by hours: an hour can straddle two parts. Ranks come from counts of sorted ranges, so
     no task holds all rows."""
-    parts = panel.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    parts = durable(panel.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     n = F.count("*")
     before = F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
     ranges = parts.groupBy("_p").agg(n.alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))

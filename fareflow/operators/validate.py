@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import minutes_between, strict, tolerant
+from ..functions.columns import integral_or_one, minutes_between, strict, tolerant
 
 Rules = Sequence[tuple[str, Column]]
 
@@ -48,10 +48,13 @@ def taxi_rules(columns: Sequence[str], start: str, end: str, year: int | None =
     return [(name, rule) for name, rule in rules if not isinstance(rule, bool)]
 
 
-def ride_rules() -> Rules:
-    """For-hire trips: order of the four moments, and the driver's own clock within five minutes. Caps hold for values that are there."""
+def ride_rules(columns: Sequence[str] = ("base_passenger_fare", "driver_pay"), year: int | None = None, month: int | None = None) -> Rules:
+    """For-hire trips: order of the four moments, the driver's own clock within five minutes, no negative amounts. Caps hold for values
+    that are there. Rules on amounts that the table lacks are left out."""
     pickup = F.col("pickup_datetime")
+    in_month = [] if year is None or month is None else [("outside_month", (F.year(pickup) == year) & (F.month(pickup) == month))]
     return [
+        *in_month,
         ("moments_missing", pickup.isNotNull() & F.col("dropoff_datetime").isNotNull()),
         ("dropoff_not_after_pickup", F.col("dropoff_datetime") > pickup),
         ("pickup_not_after_request", tolerant("request_datetime", pickup > F.col("request_datetime"))),
@@ -60,13 +63,16 @@ def ride_rules() -> Rules:
         ("too_long", minutes_between("pickup_datetime", "dropoff_datetime") <= S.MAX_MINUTES),
         ("clock_differs", F.abs(F.col("trip_time") / 60 - minutes_between("pickup_datetime", "dropoff_datetime")) < 5),
         ("no_distance", tolerant("trip_miles", F.col("trip_miles") > 0)),
-        ("fare_too_high", tolerant("base_passenger_fare", F.col("base_passenger_fare").between(0, S.MAX_FARE))),
-        ("pay_too_high", tolerant("driver_pay", F.col("driver_pay").between(0, S.MAX_FARE))),
+        *[(f"negative_{c}", tolerant(c, F.col(c) >= 0)) for c in S.RIDE_AMOUNTS if c in columns],
+        ("fare_too_high", tolerant("base_passenger_fare", F.col("base_passenger_fare") <= S.MAX_FARE)),
+        ("pay_too_high", tolerant("driver_pay", F.col("driver_pay") <= S.MAX_FARE)),
     ]
 
 
-def weather_rules() -> Rules:
+def weather_rules(year: int | None = None, month: int | None = None) -> Rules:
+    in_month = [] if year is None or month is None else [("outside_month", (F.year("date") == year) & (F.month("date") == month))]
     return [
+        *in_month,
         ("hour", F.col("hour").between(0, 23)),
         ("temperature", F.col("temp_c").between(-40, 55)),
         ("wind", F.col("wind_kmh").between(0, 300)),
@@ -74,6 +80,11 @@ def weather_rules() -> Rules:
     ]
 
 
+def counted_events(df: DataFrame) -> DataFrame:
+    """n_events as a whole number; what isn't one counts as one event."""
+    return df.withColumn("n_events", integral_or_one("n_events"))
+
+
 def event_rules(boroughs: Sequence[str] = (*S.BOROUGHS, "Ewr")) -> Rules:
     """Null types fail: they aren't taken for text."""
     return [("hour", F.col("hour").between(0, 23)), ("borough", F.col("borough").isin(*boroughs)), ("event_type", F.length(F.trim("event_type")) > 0)]
@@ -82,6 +93,7 @@ def event_rules(boroughs: Sequence[str] = (*S.BOROUGHS, "Ewr")) -> Rules:
 def rent_rules(outlier_free: Column, years: tuple[int, int] = (2023, 2024)) -> Rules:
     """Thirteen rules in order. outlier_free: the verdict of the interquartile test on the price."""
     price = F.col("price")
+    # The names of the reasons, and their order, which is part of the rule.
     return [
         ("snapshot_missing", F.col("snapshot").isNotNull()),
         ("snapshot_year_out_of_range", F.year("snapshot").between(*years)),
@@ -133,6 +145,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFra
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def accounted(df: DataFrame, rules: Rules, duplicates: Sequence[tuple[str, Sequence[str]]], *order: Column) -> DataFrame:
+    """df with reason: the first rule that a row fails; for rows that fail none, the first set of keys under which another row comes
+    before it in the order, rows that an earlier set put aside no longer counting; null for rows that stay."""
+    out = df.withColumn("reason", reason(rules))
+    for name, keys in duplicates:
+        place = F.row_number().over(W.partitionBy(*keys, F.col("reason").isNull()).orderBy(*order))
+        out = out.withColumn("_n", place).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_n") > 1), F.lit(name)).otherwise(F.col("reason"))).drop("_n")
+    return out
+
+
+def known_only(df: DataFrame, column: str, valid: DataFrame, key: str) -> DataFrame:
+    """df with values of the column that valid's key lacks made null; rows stay."""
+    known = valid.select(F.col(key).alias("_known")).distinct()
+    return df.join(known, F.col(column) == F.col("_known"), "left").withColumn(column, F.col("_known").cast(df.schema[column].dataType)).select(*df.columns)
+
+
 def code_domains(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFrame:
     """Values outside a column's domain become null."""
     return df.withColumns({c: F.when(F.col(c).isin(*values), F.col(c)) for c, values in domains.items()})

@@ -8,6 +8,7 @@ from ..operators import aggregates as A
 from ..operators import indices as I
 from ..operators import panel as P
 from ..operators import stress as S
+from ..session import durable
 from .adapters import CITY_EVENTS, RENT, RESTAURANTS, TRIPS_EV, TRIPS_LI, WEATHER, ZONES_EV, Catalogue, city_events, rent, restaurants, rounded, trips_ev, trips_li, weather, zones_ev
 
 query = Catalogue()
@@ -89,8 +90,9 @@ BASE = f"""{TRIPS_EV}, cells AS (SELECT pu_location_id, date + to_hours(hour) AS
 
 
 def _base(spark, sf):
+    """Bounds, moments and limits are each taken from the panel, so it is written down once."""
     cells = S.base(trips_ev(spark, sf), valid=F.col("total_amount_std") > 20)
-    return P.filled(cells, values={"n_trips": 0, "avg_price": 0.0, "price_variability": 0.0})
+    return durable(P.filled(durable(cells), values={"n_trips": 0, "avg_price": 0.0, "price_variability": 0.0}))
 
 
 @query(f"WITH {BASE} SELECT pu_location_id, timestamp_hour, n_trips, round(avg_price, 4) AS avg_price, round(price_variability, 4) AS price_variability FROM panel")
@@ -126,7 +128,7 @@ SCORE = f"""{BASE}, {SPLIT}, m AS (SELECT avg(ln(1 + n_trips)) AS ma, stddev_pop
 
 def _scored(spark, sf):
     p = _base(spark, sf)
-    bounds = S.split_bounds(p)
+    bounds = durable(S.split_bounds(p))
     return S.scored(p, bounds), bounds
 
 
@@ -143,7 +145,7 @@ LABELS = f"""{SCORE}, ahead AS (SELECT *, lead(stress_score, 1) OVER ({Z}) AS t1
 
 def _labelled(spark, sf):
     p, bounds = _scored(spark, sf)
-    return S.labelled(p, bounds), bounds
+    return durable(S.labelled(durable(p), bounds)), bounds
 
 
 @query(f"WITH {LABELS} SELECT pu_location_id, timestamp_hour, round(t24, 4) AS target_stress_t24, is_stress_now, is_stress_t1, is_stress_t3, is_stress_t24 FROM labels")
@@ -152,19 +154,37 @@ def stress_labels(spark, sf):
 
 
 CAL = "CAST(dayofweek(timestamp_hour) + 1 AS INT) AS day_of_week, CAST(hour(timestamp_hour) AS INT) AS hour, CAST(dayofweek(timestamp_hour) IN (0, 6) AS INT) AS is_weekend"
-SLOTS = f"""{LABELS}, slots AS (SELECT pu_location_id, day_of_week, hour, count(*) AS n_obs, avg(is_stress_now) AS stress_rate, avg(stress_score) AS stress_score_mean, avg(n_trips) AS n_trips_mean, avg(price_variability) AS price_variability_mean, avg(avg_price) AS avg_price_mean,
-  quantile_cont(stress_score, 0.9) AS stress_score_p90, quantile_cont(n_trips, 0.9) AS n_trips_p90, quantile_cont(price_variability, 0.9) AS price_variability_p90 FROM (SELECT *, {CAL} FROM labels) GROUP BY 1, 2, 3)"""
+SLOTS = f"""{LABELS}, {ZONES_EV}, {WEATHER}, {CITY_EVENTS}, city AS (SELECT date, hour, sum(n_events) AS n FROM city_events GROUP BY 1, 2), dated AS (SELECT *, CAST(timestamp_hour AS DATE) AS date, {CAL} FROM labels), slots AS (
+  SELECT pu_location_id, borough, day_of_week, hour, CAST(floor(hour / 3) AS INT) AS hour_block_3h, count(*) AS n_obs, avg(is_stress_now) AS stress_rate, avg(stress_score) AS stress_score_mean, avg(n_trips) AS n_trips_mean, avg(price_variability) AS price_variability_mean, avg(avg_price) AS avg_price_mean,
+  avg(temp_c) AS temp_c_mean, avg(precip_mm) AS precip_mm_mean, avg(coalesce(n, 0)) AS city_n_events_mean, avg(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS city_has_event_rate,
+  quantile_cont(stress_score, 0.9) AS stress_score_p90, quantile_cont(n_trips, 0.9) AS n_trips_p90, quantile_cont(price_variability, 0.9) AS price_variability_p90
+  FROM dated LEFT JOIN zones USING (pu_location_id) LEFT JOIN weather USING (date, hour) LEFT JOIN city USING (date, hour) GROUP BY 1, 2, 3, 4, 5)"""
+MEASURES = ("stress_rate", "stress_score_mean", "n_trips_mean", "price_variability_mean", "avg_price_mean", "temp_c_mean", "precip_mm_mean", "city_n_events_mean", "city_has_event_rate", "stress_score_p90", "n_trips_p90", "price_variability_p90")
+
+
+def _enriched(spark, sf):
+    """The labelled panel with calendar, borough, weather and events."""
+    p = P.with_calendar(_labelled(spark, sf)[0])
+    return P.enriched(p, A.weather_features(weather(spark, sf)), A.city_event_features(city_events(spark, sf)), zones=zones_ev(spark, sf))
 
 
 def slot_panel(spark, sf):
-    return S.slots(P.with_calendar(_labelled(spark, sf)[0]))
+    return durable(S.slots(_enriched(spark, sf)))
 
 
-@query(f"WITH {SLOTS} SELECT pu_location_id, day_of_week, hour, n_obs, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("stress_rate", "stress_score_mean", "n_trips_mean", "price_variability_mean", "avg_price_mean", "stress_score_p90", "n_trips_p90", "price_variability_p90")) + " FROM slots")
+@query(f"WITH {SLOTS} SELECT pu_location_id, borough, day_of_week, hour, hour_block_3h, n_obs, " + ", ".join(f"round({c}, 4) AS {c}" for c in MEASURES) + " FROM slots")
 def stress_slot_panel(spark, sf):
     return rounded(slot_panel(spark, sf))
 
 
+@query(f"WITH {SLOTS}, {RENT}, {RESTAURANTS}, r AS (SELECT CAST(year + 1 AS INT) AS year, zone_id, avg(price) AS rent FROM rent GROUP BY 1, 2), q AS (SELECT 2024 AS year, zone_id, count(DISTINCT camis) AS nr FROM restaurants GROUP BY 1, 2) SELECT pu_location_id, timestamp_hour, borough, round(temp_c, 4) AS temp_c, precip_mm, coalesce(n, 0) AS city_n_events, CASE WHEN n > 0 THEN 1 ELSE 0 END AS city_has_event, round(rent, 4) AS rent_price_zone, nr AS n_restaurants_zone, is_stress_now FROM dated LEFT JOIN zones USING (pu_location_id) LEFT JOIN weather USING (date, hour) LEFT JOIN city USING (date, hour) LEFT JOIN r ON pu_location_id = r.zone_id AND year(timestamp_hour) = r.year LEFT JOIN q ON pu_location_id = q.zone_id AND year(timestamp_hour) = q.year")
+def stress_enriched(spark, sf):
+    rents = A.yearly_features(rent(spark, sf), "price").select((F.col("year") + 1).alias("year"), F.col("zone_id").alias("pu_location_id"), F.col("price").alias("rent_price_zone"))
+    eaten = restaurants(spark, sf).groupBy(F.lit(2024).alias("year"), F.col("zone_id").alias("pu_location_id")).agg(F.count_distinct("camis").alias("n_restaurants_zone"))
+    p = P.enriched(P.enriched(_enriched(spark, sf), zone_years=rents), zone_years=eaten)
+    return rounded(p.select("pu_location_id", "timestamp_hour", "borough", "temp_c", "precip_mm", "city_n_events", "city_has_event", "rent_price_zone", "n_restaurants_zone", "is_stress_now"))
+
+
 BASELINE = f"""{LABELS}, {ZONES_EV}, full_ AS (SELECT l.*, {CAL}, borough, CASE WHEN timestamp_hour <= train_end THEN 'train' WHEN timestamp_hour BETWEEN val_start AND val_end THEN 'val' WHEN timestamp_hour >= test_start THEN 'test' ELSE 'gap' END AS split
   FROM labels l LEFT JOIN zones USING (pu_location_id), bounds), tr AS (SELECT * FROM full_ WHERE split = 'train' AND t1 IS NOT NULL), pz AS (SELECT pu_location_id, hour, is_weekend, avg(t1) AS p FROM tr GROUP BY 1, 2, 3), pb AS (SELECT borough, hour, is_weekend, avg(t1) AS p FROM tr GROUP BY 1, 2, 3),
   ph AS (SELECT hour, avg(t1) AS p FROM tr GROUP BY 1), pg AS (SELECT avg(t1) AS p FROM tr), preds AS (
@@ -175,7 +195,7 @@ BASELINE = f"""{LABELS}, {ZONES_EV}, full_ AS (SELECT l.*, {CAL}, borough, CASE
 def _baselines(spark, sf):
     p, bounds = _labelled(spark, sf)
     p = S.with_split(P.with_calendar(p).join(zones_ev(spark, sf), "pu_location_id", "left"), bounds)
-    return S.baselines(p)
+    return S.baselines(durable(p))
 
 
 @query(f"WITH {BASELINE} SELECT pu_location_id, timestamp_hour, split, round(pred_persistence, 4) AS pred_persistence, round(pred_zone_hour_weekend, 4) AS pred_zone_hour_weekend, round(pred_global, 4) AS pred_global FROM preds")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import serving as V
+from ..session import durable
 from .adapters import Catalogue, rounded
 from .panel_queries import SLOTS, slot_panel
 
@@ -18,7 +19,7 @@ SCORES = f"""{SLOTS}, q AS (SELECT quantile_cont(stress_score_mean, 0.05) AS a,
 
 def _scores(spark, sf):
     slots = slot_panel(spark, sf).select(F.col("pu_location_id").alias("zone"), "day_of_week", "hour", F.col("stress_score_mean").alias("raw"))
-    return rounded(V.calibrated(slots).drop("raw"))
+    return durable(rounded(V.calibrated(slots).drop("raw")))
 
 
 LEVEL = "CASE WHEN score IS NULL THEN NULL WHEN score <= 0.33 THEN 'low' WHEN score <= 0.66 THEN 'medium' ELSE 'high' END AS level"

@@ -76,23 +76,39 @@ def rejection_reasons(spark, sf):
     return V.rejections(df, V.taxi_rules(df.columns, "pickup_datetime", "dropoff_datetime"))
 
 
-@query(f"""WITH {TRIPS_LI}, rides AS (
+RIDES = f"""WITH {TRIPS_LI}, rides AS (
   SELECT trip_id, pickup_datetime - to_minutes(CAST(passenger_count AS INT)) AS request_datetime, CASE WHEN trip_distance > 10 THEN pickup_datetime - to_minutes(CAST(trip_distance AS INT) % 3) END AS on_scene_datetime,
     pickup_datetime, pickup_datetime + to_minutes(CAST(trip_duration_min AS INT)) AS dropoff_datetime, trip_distance AS trip_miles,
-    CASE WHEN passenger_count <> 3 THEN trip_duration_min * 60 + 100 * passenger_count END AS trip_time, fare_amount / 200 AS base_passenger_fare, fare_amount / 300 AS driver_pay FROM trips), r AS (
+    CASE WHEN passenger_count <> 3 THEN trip_duration_min * 60 + 100 * passenger_count END AS trip_time, fare_amount / 200 AS base_passenger_fare, fare_amount / 300 AS driver_pay,
+    CASE WHEN passenger_count <> 2 THEN trip_distance - 2 END AS tolls, 20 - tip_amount / 200 AS tips FROM trips), r AS (
   SELECT CASE WHEN NOT dropoff_datetime > pickup_datetime THEN 'dropoff_not_after_pickup' WHEN NOT pickup_datetime > request_datetime THEN 'pickup_not_after_request'
     WHEN on_scene_datetime IS NOT NULL AND NOT pickup_datetime >= on_scene_datetime THEN 'pickup_before_scene' WHEN on_scene_datetime IS NOT NULL AND NOT on_scene_datetime >= request_datetime THEN 'scene_before_request'
     WHEN date_diff('minute', pickup_datetime, dropoff_datetime) > 360 THEN 'too_long' WHEN NOT coalesce(abs(trip_time / 60 - date_diff('minute', pickup_datetime, dropoff_datetime)) < 5, false) THEN 'clock_differs'
-    WHEN trip_miles <= 0 THEN 'no_distance' WHEN NOT base_passenger_fare BETWEEN 0 AND 400 THEN 'fare_too_high' WHEN NOT driver_pay BETWEEN 0 AND 400 THEN 'pay_too_high' ELSE 'valid' END AS reason FROM rides)
-SELECT reason, count(*) AS n FROM r GROUP BY 1""")
-def ride_reasons(spark, sf):
+    WHEN trip_miles <= 0 THEN 'no_distance' WHEN base_passenger_fare < 0 THEN 'negative_base_passenger_fare' WHEN tolls < 0 THEN 'negative_tolls' WHEN tips < 0 THEN 'negative_tips' WHEN driver_pay < 0 THEN 'negative_driver_pay'
+    WHEN base_passenger_fare > 400 THEN 'fare_too_high' WHEN driver_pay > 400 THEN 'pay_too_high' ELSE 'valid' END AS reason FROM rides)
+SELECT reason, count(*) AS n FROM r GROUP BY 1"""
+
+
+def _rides(spark, sf):
     t, pick = trips_li(spark, sf), F.col("pickup_datetime")
-    rides = t.select(
+    return t.select(
         (pick - F.make_interval(mins=F.col("passenger_count"))).alias("request_datetime"), F.when(F.col("trip_distance") > 10, pick - F.make_interval(mins=F.col("trip_distance").cast("int") % 3)).alias("on_scene_datetime"),
         pick, (pick + F.make_interval(mins=F.col("trip_duration_min").cast("int"))).alias("dropoff_datetime"), F.col("trip_distance").alias("trip_miles"),
         F.when(F.col("passenger_count") != 3, F.col("trip_duration_min") * 60 + 100 * F.col("passenger_count")).alias("trip_time"), (F.col("fare_amount") / 200).alias("base_passenger_fare"), (F.col("fare_amount") / 300).alias("driver_pay"),
+        F.when(F.col("passenger_count") != 2, F.col("trip_distance") - 2).alias("tolls"), (20 - F.col("tip_amount") / 200).alias("tips"),
     )
-    return rides.groupBy(F.coalesce(V.reason(V.ride_rules()), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(RIDES)
+def ride_reasons(spark, sf):
+    rides = _rides(spark, sf)
+    return rides.groupBy(F.coalesce(V.reason(V.ride_rules(rides.columns)), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(RIDES.replace("SELECT CASE WHEN NOT dropoff_datetime > pickup", "SELECT CASE WHEN NOT (year(pickup_datetime) = 1995 AND month(pickup_datetime) = 3) THEN 'outside_month' WHEN NOT dropoff_datetime > pickup"))
+def ride_month_reasons(spark, sf):
+    rides = _rides(spark, sf)
+    return rides.groupBy(F.coalesce(V.reason(V.ride_rules(rides.columns, 1995, 3)), F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey, CASE WHEN l_linenumber IN (1, 2, 6, 7) THEN l_linenumber END AS l_linenumber, CASE WHEN l_returnflag IN ('Y', 'N') THEN l_returnflag END AS l_returnflag FROM lineitem""")
@@ -129,35 +145,43 @@ def calendar_parts(spark, sf):
     return table(spark, sf, "events").select("event_id", F.floor(h / 3).cast("int").alias("hour_block_3h"), C.hour_start("ts").alias("timestamp_hour"), h.isin(7, 8, 9, 16, 17, 18, 19).cast("int").alias("is_peak"), (h < 6).cast("int").alias("is_night"), F.weekday("ts").alias("weekday_monday0"), F.year("ts").alias("year"), F.weekofyear("ts").alias("week_of_year"))
 
 
-SCOPE_SQL = "[CASE WHEN count({v}) >= 30 THEN quantile_cont({v}, 0.01) END, CASE WHEN count({v}) >= 30 THEN quantile_cont({v}, 0.05) END, CASE WHEN count({v}) >= 30 THEN quantile_cont({v}, 0.95) END, CASE WHEN count({v}) >= 30 THEN quantile_cont({v}, 0.99) END]"
+SCOPE_SQL = "[" + ", ".join(f"CASE WHEN count({{v}}) >= 30 THEN round (quantile_cont({{v}}, {q}), 6) END" for q in O.QUANTILES) + "]"
+_THREE = ("trip_duration_min", "trip_distance", "total_amount_std")
+_Q = ", ".join(f"{SCOPE_SQL.format(v=v)} AS {v}" for v in _THREE)
+_K = "service_type, year, month"
 
 
-@query(f"""WITH {TRIPS_LI} SELECT pu_location_id, hour, count(trip_distance) AS n, """ + ", ".join(f"CASE WHEN count(trip_distance) >= 30 THEN round(quantile_cont(trip_distance, {q}), 4) END AS p{round(q * 100):02d}" for q in O.QUANTILES) + " FROM trips GROUP BY ALL")
+@query(f"""WITH {TRIPS_LI} SELECT {_K}, hour, count(trip_distance) AS n, """ + ", ".join(f"CASE WHEN count(trip_distance) >= 30 THEN round(quantile_cont(trip_distance, {q}), 4) END AS p{round(q * 100):02d}" for q in O.QUANTILES) + " FROM trips GROUP BY ALL")
 def outlier_thresholds(spark, sf):
-    q = trips_li(spark, sf).groupBy("pu_location_id", "hour").agg(F.count("trip_distance").alias("n"), O.quantiles("trip_distance", 30).alias("q"))
-    return rounded(q.select("pu_location_id", "hour", "n", *[F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(O.QUANTILES)]))
+    q = O.thresholds(trips_li(spark, sf), {"hour": O.SCOPES["hour"]}, ["trip_distance"])["hour"]
+    return rounded(q.select(*O.KEYS, "hour", F.col("n_trip_distance").alias("n"), *[F.col("q_trip_distance")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(O.QUANTILES)]))
 
 
-def _treated(v: str) -> str:
-    def t(i):
-        return f"coalesce(a.{v}[{i}], b.{v}[{i}], c.{v}[{i}], d.{v}[{i}])"
+def _limit(v: str, i: int) -> str:
+    return f"coalesce(a.{v}[{i}], b.{v}[{i}], c.{v}[{i}], d.{v}[{i}])"
 
-    return f"CASE WHEN t.{v} < {t(1)} OR t.{v} > {t(4)} THEN NULL WHEN t.{v} < {t(2)} OR t.{v} > {t(3)} THEN least(greatest(t.{v}, {t(2)}), {t(3)}) ELSE t.{v} END"
 
+def _treated(v: str) -> str:
+    return f"CASE WHEN t.{v} < {_limit(v, 1)} OR t.{v} > {_limit(v, 4)} THEN NULL WHEN t.{v} < {_limit(v, 2)} OR t.{v} > {_limit(v, 3)} THEN least(greatest(t.{v}, {_limit(v, 2)}), {_limit(v, 3)}) ELSE t.{v} END"
 
-_THREE = ("trip_duration_min", "trip_distance", "total_amount_std")
-_Q = ", ".join(f"{SCOPE_SQL.format(v=v)} AS {v}" for v in _THREE)
 
+_SCOPES = f"""{TRIPS_LI}, a AS (SELECT {_K}, pu_location_id, hour, is_weekend, {_Q} FROM trips GROUP BY 1, 2, 3, 4, 5, 6), b AS (SELECT {_K}, pu_location_id, {_Q} FROM trips GROUP BY 1, 2, 3, 4), c AS (SELECT {_K}, hour, {_Q} FROM trips GROUP BY 1, 2, 3, 4), d AS (SELECT {_K}, {_Q} FROM trips GROUP BY 1, 2, 3)"""
+_JOINED = " ".join(f"LEFT JOIN {s} ON " + " AND ".join(f"t.{k} = {s}.{k}" for k in ("service_type", "year", "month", *keys)) for s, keys in (("a", ("pu_location_id", "hour", "is_weekend")), ("b", ("pu_location_id",)), ("c", ("hour",)), ("d", ())))
 
-@query(f"""WITH {TRIPS_LI}, a AS (SELECT pu_location_id, hour, is_weekend, {_Q} FROM trips GROUP BY 1, 2, 3), b AS (SELECT pu_location_id, {_Q} FROM trips GROUP BY 1), c AS (SELECT hour, {_Q} FROM trips GROUP BY 1), d AS (SELECT {_Q} FROM trips), f AS (
-  SELECT t.trip_id, t.hour, t.pu_location_id, t.date, {", ".join(f"{_treated(v)} AS {v}" for v in _THREE)}
-  FROM trips t LEFT JOIN a ON t.pu_location_id = a.pu_location_id AND t.hour = a.hour AND t.is_weekend = a.is_weekend LEFT JOIN b ON t.pu_location_id = b.pu_location_id LEFT JOIN c ON t.hour = c.hour, d)
+
+@query(f"""WITH {_SCOPES}, f AS (SELECT t.trip_id, t.hour, t.pu_location_id, t.date, {", ".join(f"{_treated(v)} AS {v}" for v in _THREE)} FROM trips t {_JOINED})
 SELECT trip_id, hour, pu_location_id, date, round(trip_duration_min, 3) AS trip_duration_min, round(trip_distance, 3) AS trip_distance, round(total_amount_std, 3) AS total_amount_std, CASE WHEN trip_distance > 0 THEN round(total_amount_std / trip_distance, 3) END AS price_per_mile FROM f""")
 def contextual_outliers(spark, sf):
     t = O.treat(O.with_thresholds(trips_li(spark, sf), _THREE), _THREE)
     return rounded(t.select("trip_id", "hour", "pu_location_id", "date", "trip_duration_min", "trip_distance", "total_amount_std", "price_per_mile"), 3)
 
 
+@query(f"""WITH {_SCOPES}, l AS (""" + " UNION ALL ".join(f"SELECT '{v}' AS variable, CASE WHEN a.{v}[1] IS NOT NULL THEN 'primary' WHEN b.{v}[1] IS NOT NULL THEN 'zone' WHEN c.{v}[1] IS NOT NULL THEN 'hour' WHEN d.{v}[1] IS NOT NULL THEN 'all' END AS scope, CASE WHEN t.{v} < {_limit(v, 1)} OR t.{v} > {_limit(v, 4)} THEN 'r' WHEN t.{v} < {_limit(v, 2)} OR t.{v} > {_limit(v, 3)} THEN 'c' END AS action FROM trips t {_JOINED}" for v in _THREE) + """)
+SELECT variable, scope, count(*) FILTER (action = 'r') AS n_removed, count(*) FILTER (action = 'c') AS n_clamped FROM l GROUP BY 1, 2""")
+def outlier_actions(spark, sf):
+    return O.actions(O.treat(O.with_thresholds(trips_li(spark, sf), _THREE), _THREE), _THREE)
+
+
 @query("""SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem""")
 def dedup_exact(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").dropDuplicates(["l_orderkey", "l_linenumber"])
@@ -203,6 +227,30 @@ def events_valid(spark, sf):
     return V.valid(city_events(spark, sf), V.event_rules(("ASIA", "EUROPE"))).select("date", "hour", "borough", "event_type", "n_events")
 
 
+@query(f"""WITH {CITY_EVENTS} SELECT date, hour, borough, event_type, CAST(CASE WHEN n_events % 2 = 0 THEN n_events / 2 ELSE 1 END AS INT) AS n_events FROM city_events""")
+def events_counted(spark, sf):
+    halves = city_events(spark, sf).withColumn("n_events", (F.col("n_events") / 2).cast("string"))
+    return V.counted_events(halves).select("date", "hour", "borough", "event_type", "n_events")
+
+
+@query(f"""WITH {RENT}, r AS (SELECT *, CASE WHEN room_type = 'PROMO' THEN 'snapshot_missing' WHEN price > 1500 THEN 'price_outlier' WHEN id % 10 = 3 THEN 'borough_invalid' END AS reason, id % 50 AS tract FROM rent),
+  z AS (SELECT *, row_number() OVER (PARTITION BY year, tract, reason IS NULL ORDER BY price_moe NULLS LAST, price DESC, id) AS n FROM r)
+SELECT CASE WHEN reason IS NOT NULL THEN reason WHEN n > 1 THEN 'duplicate_zone_in_snapshot' ELSE 'valid' END AS reason, count(*) AS n FROM z GROUP BY 1""")
+def rent_accounting(spark, sf):
+    r = rent(spark, sf).withColumn("part", F.col("id"))
+    tract = F.concat(F.lit("36061"), F.lpad((F.col("part") % 50).cast("string"), 6, "0"))
+    r = r.withColumns({"snapshot": F.when(F.col("room_type") != "PROMO", F.make_date("year", F.lit(1), F.lit(1))), "id": tract, "zone_id": tract, "latitude": F.lit(40.7), "longitude": F.lit(-74.0), "borough": F.when(F.col("part") % 10 == 3, "Nowhere").otherwise("Queens")})
+    duplicates = [("duplicate_zone_in_snapshot", ["year", "zone_id"]), ("duplicate_id_in_snapshot", ["year", "id"])]
+    found = V.accounted(r, V.rent_rules(F.col("price") <= 1500), duplicates, F.asc_nulls_last("price_moe"), F.desc("price"), F.col("part"))
+    return found.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) THEN o_custkey END AS o_custkey FROM orders""")
+def known_customers(spark, sf):
+    valid = table(spark, sf, "customer").where("c_nationkey < 12")
+    return V.known_only(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", valid, "c_custkey")
+
+
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def uniqueness_check(spark, sf):
     return V.repeated_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

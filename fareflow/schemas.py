@@ -33,6 +33,27 @@ FHVHV = _struct(
 WEATHER = _struct("date date, hour int, temp_c double, precip_mm double, rain_mm double, snowfall_mm double, wind_kmh double, weather_code int")
 CITY_EVENTS = _struct("date date, hour int, borough string, event_type string, n_events int")
 
+# The columns of a standard trip.
+TRIP = _struct(
+    "service_type string, pickup_datetime timestamp_ntz, dropoff_datetime timestamp_ntz, date date, year int, month int, hour int, day_of_week int, is_weekend int, week_of_year int, "
+    "pu_location_id int, do_location_id int, trip_distance double, trip_duration_min double, total_amount_std double, total_amount double, fare_amount double, tip_amount double, "
+    "tips double, tip_pct double, price_per_mile double, tolls_amount double, tolls double, congestion_surcharge double, airport_fee double, base_passenger_fare double, trip_miles double, "
+    "VendorID int, passenger_count int, RatecodeID int, payment_type int, is_valid_for_demand int, is_valid_for_price int, is_valid_for_duration int, is_valid_for_distance int, is_valid_for_tip int"
+)
+# Columns in which two records of one trip agree.
+TRIP_IDENTITY = (
+    "service_type", "pickup_datetime", "dropoff_datetime", "pu_location_id", "do_location_id", "trip_distance", "total_amount_std",
+    "fare_amount", "tip_amount", "VendorID", "passenger_count", "RatecodeID", "payment_type",
+)
+# Names of a trip's moments and zones in the three records.
+TRIP_NAMES = {
+    "pickup_datetime": ("tpep_pickup_datetime", "lpep_pickup_datetime", "pickup_datetime"),
+    "dropoff_datetime": ("tpep_dropoff_datetime", "lpep_dropoff_datetime", "dropoff_datetime"),
+    "pu_location_id": ("PULocationID", "pu_location_id"),
+    "do_location_id": ("DOLocationID", "do_location_id"),
+    "trip_distance": ("trip_distance", "trip_miles"),
+}
+
 # Codes that are in use.
 VENDORS = {"yellow": (1, 2, 6, 7), "green": (1, 2, 6)}
 RATECODES = (1, 2, 3, 4, 5, 6)
@@ -47,4 +68,5 @@ TRACT = r"^36(?:005|047|061|081|085)\d{6}$"
 # Limits of the validation rules.
 MAX_MINUTES, MAX_FARE, MAX_TOTAL, MAX_RENT = 360.0, 400.0, 500.0, 10_000.0
 LATITUDES, LONGITUDES = (40.4, 41.0), (-74.3, -73.6)
+RIDE_AMOUNTS = ("base_passenger_fare", "tolls", "bcf", "sales_tax", "congestion_surcharge", "airport_fee", "tips", "driver_pay", "cbd_congestion_fee")
 FEES = ("extra", "mta_tax", "tip_amount", "tolls_amount", "improvement_surcharge", "congestion_surcharge", "airport_fee", "cbd_congestion_fee")

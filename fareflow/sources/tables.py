@@ -42,7 +42,7 @@ def first_source(spark: SparkSession, candidates: Sequence[tuple[str, str]], sch
 
 
 def read_folder(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder, by default without its subfolders; recursive also finds those, partitioned or not."""
+    """Parquet files of a folder, its partitions (``year=2024/...``) included. recursive: files of any subfolders, whatever their names; those give no columns then."""
     reader = spark.read.option("pathGlobFilter", pattern)
     return reader.option("recursiveFileLookup", True).parquet(path) if recursive else reader.parquet(path)
 
@@ -51,6 +51,33 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def read_months(spark: SparkSession, path: str, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """Files partitioned by year and month, from one month to another: only their folders are read."""
+    month = F.col("year") * 100 + F.col("month")
+    return spark.read.parquet(path).where(month.between(first[0] * 100 + first[1], last[0] * 100 + last[1]))
+
+
+def monthly(df: DataFrame, time: str) -> DataFrame:
+    """df with the partition columns year and month."""
+    return df.withColumns({"year": F.year(time), "month": F.month(time)})
+
+
+def write_single(df: DataFrame, path: str) -> None:
+    """One Parquet file: for results that are small by nature."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def up_to_date(found: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: whether two tables of snapshots hold the same set, and how many are new or gone."""
+    a, b = found.distinct().withColumn("_f", F.lit(1)), known.distinct().withColumn("_k", F.lit(1))
+    same = F.lit(True)
+    for c in found.columns:
+        same = same & a[c].eqNullSafe(b[c])
+    joined = a.join(b, same, "full") if found.columns else a
+    counts = joined.agg(F.count_if(F.col("_k").isNull()).alias("n_new"), F.count_if(F.col("_f").isNull()).alias("n_gone"))
+    return counts.select(((F.col("n_new") == 0) & (F.col("n_gone") == 0)).alias("fresh"), "n_new", "n_gone")
+
+
 def zip_arrays(payload: DataFrame, columns: Mapping[str, str], body: str = "body") -> DataFrame:
     """Rows from JSON with parallel arrays, as weather services send them. columns: name to element type."""
     kind = "struct<hourly: struct<" + ", ".join(f"{c}: array<{t}>" for c, t in columns.items()) + ">>"

@@ -9,6 +9,7 @@ from fareflow import schemas as S
 from fareflow.functions import columns as C
 from fareflow.operators import aggregates as A
 from fareflow.operators import indices as I
+from fareflow.operators import learning, trips
 from fareflow.operators import outliers as O
 from fareflow.operators import panel as P
 from fareflow.operators import stress as T
@@ -95,6 +96,53 @@ def test_threshold_cascade(spark, n, known):
     assert (q[3] < 30) == known  # the narrow scope's own quantile, or that of all rows
 
 
+def test_thresholds_belong_to_a_month(spark):
+    rows = [(s, y, m, 1, 8, 0, float(base + i)) for s, y, m, base in (("a", 2024, 1, 0), ("a", 2024, 2, 1000), ("b", 2024, 1, 5000)) for i in range(40)]
+    df = spark.createDataFrame(rows, "service_type string, year int, month int, pu_location_id int, hour int, is_weekend int, trip_distance double").withColumns({"tip_amount": F.lit(1.0), "fare_amount": F.lit(10.0), "total_amount_std": F.lit(10.0)})
+    treated = O.treat(O.with_thresholds(df, ["trip_distance"]), ["trip_distance"])
+    assert treated.where("trip_distance_action = 'removed'").groupBy("service_type", "month").count().count() == 3
+    assert values(O.actions(treated, ["trip_distance"]), "scope", "n_removed", "n_clamped") == [("primary", 6, 6)]
+
+
+def test_raw_records_become_standard_trips(spark):
+    day = dt.datetime(2024, 3, 2, 10)
+    yellow = spark.createDataFrame([(day, day + dt.timedelta(minutes=30), "7", 10.0, 2.0, None, 1.25), (day, day, None, 1.0, 0.0, 9.0, None), (None, day, "7", 1.0, 0.0, 9.0, None)], "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, PULocationID string, fare_amount double, tip_amount double, total_amount double, Airport_fee double")
+    rides = spark.createDataFrame([(day, day, 7, 3.5, None, 8.0, 1.0)], "pickup_datetime timestamp_ntz, dropoff_datetime timestamp_ntz, PULocationID long, trip_miles double, trip_distance double, base_passenger_fare double, tips double")
+    out = trips.standard_trips({"yellow": yellow, "fhvhv": rides}, (2024, 2025))
+    assert out.columns == S.TRIP.fieldNames() and len(out.columns) == 36 and [f.dataType for f in out.schema] == [f.dataType for f in S.TRIP]
+    got = sorted(values(out, "service_type", "total_amount_std", "trip_distance", "tip_pct", "trip_duration_min", "is_weekend", "airport_fee"))
+    assert got == [("fhvhv", 9.0, 3.5, None, 0.0, 1, None), ("yellow", 3.25, None, 0.2, 30.0, 1, 1.25)]
+    assert trips.standard_trips({"yellow": yellow}, (2025, 2025)).count() == 0
+    assert trips.without_repeats(out.unionAll(out)).count() == 2 and trips.of_month(out, 2024, 4).count() == 0
+
+
+def test_rides_with_negative_amounts_fail(spark):
+    day = dt.datetime(2024, 1, 1, 8)
+    kinds = ", ".join(f"{c} double" for c in S.RIDE_AMOUNTS)
+    rows = [(day, day + dt.timedelta(minutes=5), None, None, 300, 1.0, *[-1.0 if c == bad else None for c in S.RIDE_AMOUNTS]) for bad in S.RIDE_AMOUNTS]
+    df = spark.createDataFrame(rows, f"pickup_datetime timestamp_ntz, dropoff_datetime timestamp_ntz, request_datetime timestamp_ntz, on_scene_datetime timestamp_ntz, trip_time long, trip_miles double, {kinds}")
+    assert [r for (r,) in values(df.withColumn("r", V.reason(V.ride_rules(df.columns))), "r")] == [f"negative_{c}" for c in S.RIDE_AMOUNTS]
+    assert {r for (r,) in values(df.withColumn("r", V.reason(V.ride_rules(df.columns, 2024, 2))), "r")} == {"outside_month"}
+
+
+def test_title_case_keeps_long_words(spark):
+    word = "x" * 1_200_000
+    assert spark.createDataFrame([(word,)], "t string").select(F.length(C.title_case("t"))).first()[0] == len(word)
+
+
+def test_row_split_is_stable_where_execution_coalesces(spark):
+    df = spark.range(1000).select(F.xxhash64("id").alias("k"), "id").repartition(7)
+    got = sorted(values(T.row_split(df, ["k"]), "k", "split"))
+    assert [s for _, s in got] == ["train"] * 700 + ["val"] * 150 + ["test"] * 150
+
+
+def test_search_takes_the_later_rows_error(spark):
+    rows = [(float(i), 3.0 * i, "train" if i < 60 else "val") for i in range(80)]
+    df = spark.createDataFrame(rows, "x double, y double, split string")
+    best = learning.search(df.where("split = 'train'"), df.where("split = 'val'"), learning.elastic_net, learning.grid({"regParam": [0.0, 50.0]}), "y", ["x"])
+    assert best[0] == {"regParam": 0.0}
+
+
 def test_terciles_and_priority(spark):
     day = dt.date(2024, 1, 1)
     rows = [(z, h, day, n, 1.0, 0.0) for z, vs in ((1, range(1, 8)), (2, (5, 5, 6))) for h, n in enumerate(vs)]
