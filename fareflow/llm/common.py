@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import durable, shared_folder  # noqa: F401
+
 #: Words of the contracts: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can write to, where checkpoints go: ``spark.checkpoint.dir``.
-
-    Only in a session on one machine, as in tests, is a folder made where none is named; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master.startswith("local") and "cluster" not in sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fareflow-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so that a lost executor costs a read, not a recomputation. With
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files once nothing refers to them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder that one of our own steps wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
