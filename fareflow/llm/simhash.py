@@ -372,10 +372,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks=None, per_leaf: int
             for rows, cell in placed(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), *[batch.column(c).take(pa.array(rows)) for c in ("key", *carried)]], ["cell", "key", *carried])
 
+    # A cell above per_cell has more than this in some task; all others together have at most half of per_cell in tasks where they are fewer.
+    tasks = max(1, distinct.rdd.getNumPartitions())
+    few_enough = per_cell // (2 * tasks)
+
     def count(batches):
+        cell, size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def told(least):
+            return pa.RecordBatch.from_arrays([pa.array(cell[size > least]), pa.array(size[size > least])], ["cell", "size"])
+
         for batch in batches:
-            cell, size = np.unique(np.concatenate([c for _, c in placed(batch)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(size)], ["cell", "size"])
+            new = [c for _, c in placed(batch)]
+            cell, at = np.unique(np.concatenate([cell, *new]), return_inverse=True)
+            size = np.bincount(at, weights=np.concatenate([size, *[np.ones(len(c), np.int64) for c in new]]), minlength=len(cell)).astype(np.int64)
+            if len(cell) > 1 << 21:  # more than a task should hold: all that was counted so far
+                yield told(0)
+                cell, size = cell[:0], size[:0]
+        yield told(few_enough)
 
     def search(batches):
         def each():
@@ -384,7 +398,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks=None, per_leaf: int
 
         yield from _edges(each())
 
-    sizes = distinct.select(*words).mapInArrow(count, "cell long, size long").groupBy("cell").agg(F.sum("size").alias("size")).where(F.col("size") > per_cell)
+    sizes = distinct.select(*words).mapInArrow(count, "cell long, size long").groupBy("cell").agg((F.sum("size") + few_enough * tasks).alias("size")).where(F.col("size") > per_cell)
     heavy = durable(sizes.select("cell", F.ceil(F.col("size") / (per_cell // 2)).cast("int").alias("parts")))
     sharded = keyed.mapInArrow(shard, "cell long, key long, " + ", ".join(f"{c} long" for c in carried))
     return _dealt(sharded, "cell", "key", heavy).mapInArrow(search, "a long, b long")
