@@ -279,12 +279,12 @@ def logistic(f: np.ndarray, y: np.ndarray, turns: int = 50) -> np.ndarray:
 def choose_landmarks(texts: list[str], y: np.ndarray, most: int) -> list[str]:
     """Words that toxic texts hold at a much higher rate, surest first."""
     def words(text: str | None) -> set[str]:
-        return {w for w in _WORD.findall((text or "").lower()) if len(w) >= 2 and len(spelled(w)) > 2}
+        return {w for w in _WORD.findall((text or "").lower()) if len(w) >= 2}
 
     in_pos, in_neg = Counter(), Counter()
     for text in (t for t, label in zip(texts, y) if label):
         in_pos.update(words(text))
-    in_pos = Counter({w: n for w, n in in_pos.items() if n >= 2})
+    in_pos = Counter({w: n for w, n in in_pos.items() if n >= 2 and len(spelled(w)) > 2})
     for text in (t for t, label in zip(texts, y) if not label):
         in_neg.update(words(text) & in_pos.keys())
     p, n = max(1, int(y.sum())), max(1, int((1 - y).sum()))
@@ -307,7 +307,11 @@ def clean_likes(landmarks: list[str], texts: list[str]) -> frozenset[bytes]:
     by_ends: dict[tuple[int, int], list[bytes]] = {}
     for mark in map(spelled, landmarks):
         by_ends.setdefault((mark[1], mark[-1]), []).append(mark)
-    words = {spelled(w) for w in set().union(*(_WORD.findall((t or "").lower()) for t in texts))}
+    words: set[bytes] = set()
+    for text in texts:
+        for w in set(_WORD.findall((text or "").lower())):
+            if not w.isascii() or (ord(w[0]) - 96, ord(w[-1]) - 96) in by_ends:
+                words.add(spelled(w))
     return frozenset(w for w in words if len(w) > 1 and any(gapped(w, m) for m in by_ends.get((w[1], w[-1]), ())))
 
 
