@@ -25,15 +25,29 @@ def quantiles(value: str, least: int, accuracy: int | None = None) -> Column:
     return F.when(F.count(value) >= least, F.transform(found, lambda q: F.round(q, 6)))
 
 
-def thresholds(df: DataFrame, scopes: Mapping[str, Sequence[str]], variables: Sequence[str] = VARIABLES, least: int = 30, accuracy: int | None = None) -> dict[str, DataFrame]:
-    """By scope: its keys, q_<variable> and n_<variable>. All scopes and variables come from one pass over the rows."""
+def thresholds(df: DataFrame, scopes: Mapping[str, Sequence[str]], variables: Sequence[str] = VARIABLES, least: int = 30, accuracy: int | None = None, every: bool = True) -> dict[str, DataFrame]:
+    """By scope: its keys, n_<variable> and q_<variable>; every: also groups that have too few values of all variables.
+
+    The rows are evaluated once. One aggregate counts the values of all scopes; quantiles are then taken only of groups that have
+    enough, all others never being gathered.
+    """
     keys = list(dict.fromkeys(k for scope in scopes.values() for k in scope))
-    measures = [m for v in variables for m in (quantiles(v, least, accuracy).alias(f"q_{v}"), F.count(v).alias(f"n_{v}"))]
+    measures, counts = [quantiles(v, least, accuracy).alias(f"q_{v}") for v in variables], [F.count(v).alias(f"n_{v}") for v in variables]
     if not keys:
-        return {name: df.agg(*measures) for name in scopes}
-    found = durable(df.groupingSets([[F.col(k) for k in scope] for scope in scopes.values()], *keys).agg(F.grouping_id().alias("_scope"), *measures))
-    absent = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in scope) for name, scope in scopes.items()}
-    return {name: found.where(F.col("_scope") == absent[name]).select(*scope, *[f"{x}_{v}" for v in variables for x in "qn"]) for name, scope in scopes.items()}
+        return {name: df.agg(*counts, *measures) for name in scopes}
+    slim = durable(df.select(*keys, *variables))
+    enough, out = F.greatest(*[F.col(f"n_{v}") for v in variables], F.lit(0)) >= least, {}
+    held = slim.groupingSets([[F.col(k) for k in scope] for scope in scopes.values()], *keys).agg(F.grouping_id().alias("_scope"), *counts)
+    held = durable(held if every else held.where(enough))
+    for name, scope in scopes.items():
+        absent = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in scope)
+        mine = held.where(F.col("_scope") == absent).select(*scope, *[f"n_{v}" for v in variables])
+        if scope:
+            found = slim.join(mine.where(enough).select(*scope), list(scope), "left_semi").groupBy(*scope).agg(*measures)
+            out[name] = mine.join(found, list(scope), "left")
+        else:
+            out[name] = mine.crossJoin(slim.agg(*measures))
+    return out
 
 
 def with_thresholds(df: DataFrame, variables: Sequence[str] = VARIABLES, least: int = 30, accuracy: int | None = None, scopes: Mapping[str, Sequence[str]] = SCOPES) -> DataFrame:
@@ -44,7 +58,7 @@ def with_thresholds(df: DataFrame, variables: Sequence[str] = VARIABLES, least:
     """
     scopes = {name: [k for k in scope if k in df.columns] for name, scope in scopes.items()}
     out = df
-    for name, found in thresholds(df, scopes, variables, least, accuracy).items():
+    for name, found in thresholds(df, scopes, variables, least, accuracy, every=False).items():
         found = found.select(*scopes[name], *[F.col(f"q_{v}").alias(f"_{name}_{v}") for v in variables])
         out = out.join(found, scopes[name], "left") if scopes[name] else out.crossJoin(F.broadcast(found))  # one row
     out = out.withColumns({f"scope_{v}": F.coalesce(*[F.when(F.col(f"_{n}_{v}").isNotNull(), n) for n in scopes]) for v in variables})
