@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,26 +22,11 @@ def strict(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def ratio(top: str | Column, bottom: str | Column) -> Column:
     """top / bottom where bottom is positive, else null."""
     return F.when(col(bottom) > 0, col(top) / col(bottom))
 
 
-def clean_double(c: str | Column) -> Column:
-    """A number without NaN or infinities: those are null."""
-    x = col(c).cast("string").try_cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-
-
-def in_domain(c: str | Column, domain: Iterable) -> Column:
-    """The value if it is a known code, else null."""
-    return F.when(col(c).isin(*domain), col(c))
-
-
 def minutes_between(start: str | Column, end: str | Column) -> Column:
     return (F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))) / F.lit(6e7)
 
