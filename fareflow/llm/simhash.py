@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, slices, table
-from .components import components
+from .components import components, meet
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Candidates for similar copies: words of 64 bits, their shingle, the radius and the least exact similarity.
@@ -406,12 +406,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks=None, per_leaf: int
 
 def group(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, **options) -> DataFrame:
     """prints (id, fp) with component_id, the smallest id that links reach."""
-    of_fp = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    stars = components(links(of_fp.select("fp"), radius, **options)).select(F.col("node").alias("fp"), "root")
-    rooted = of_fp.join(stars, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = durable(rooted)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    of_fp = durable(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")))
+    stars = components(links(of_fp.select("fp"), radius, **options), split=True).select(F.col("node").alias("fp"), "root")
+    rooted = durable(of_fp.join(stars, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    total = rooted.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    of_fp = durable(meet(rooted, least, "root", total[0]).select("fp", "component_id", F.col("rows").alias("n")))
+    return meet(prints, of_fp, "fp", total[1])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, **options) -> DataFrame:

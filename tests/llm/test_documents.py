@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fareflow import llm
 from fareflow.llm import langid, mixing, packing, pii, quality, simhash, toxicity
 from fareflow.llm.common import crc32_mod
+from fareflow.llm.components import components, meet
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -208,6 +209,36 @@ def test_links_match_all_pairs(spark, per_cell):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("split", [True, False])
+def test_components_with_hubs(spark, split):
+    """Hubs above and below the size from which their row is broadcast, with the smallest and the largest key, joined by a chain."""
+    edges = [(0, i) for i in range(10, 1510)] + [(9_000, i) for i in range(2_000, 3_400)] + [(9_001, i) for i in range(4_000, 4_100)]
+    edges += [(i, i + 1) for i in range(5_000, 5_040)] + [(1_509, 5_000), (5_040, 2_000), (7, 7), (8_000, 8_001)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges * 2, "a long, b long"), split).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((i, find(i)) for i in root if find(i) != i)
+
+
+def test_rows_of_hot_keys_meet_once(spark):
+    keys = [1] * 1500 + [2] * 1000 + list(range(3, 500)) + [None]
+    rows = spark.createDataFrame(list(zip(keys, range(len(keys)))), "k long, n long")
+    found = spark.createDataFrame([(k, keys.count(k), -k) for k in range(1, 400)], "k long, n long, x long")
+    got = [tuple(r) for r in meet(rows, found, "k", len(keys)).collect()]
+    assert sorted(got) == [(k, i, -k) for i, k in enumerate(keys) if k is not None and k < 400]
+    assert sorted(map(tuple, meet(rows, found, "k", None).collect())) == sorted(got)
+    none = rows.where("false")
+    assert meet(none, none.groupBy("k").agg(F.count("*").alias("n"), F.min("n").alias("x")), "k", 0).count() == 0
+
+
 def test_blocks_cover_every_radius():
     for radius in range(13):
         for n in (10, 10**6, 10**8):
